@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import language, quality
+from helixlake.llm import chat, language, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": language.op2_language,
     "op4_quality": quality.op4_quality,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_chat": chat.op7_chat,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_mixing": mixing.ORACLE,
+    "op7_chat": chat.ORACLE,
+}
