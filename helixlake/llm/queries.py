@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import chat, language, mixing, quality
+from helixlake.llm import chat, decontaminate, language, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": language.op2_language,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
