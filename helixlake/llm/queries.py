@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import chat, decontaminate, language, mixing, quality
+from helixlake.llm import chat, decontaminate, language, media, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op7_chat": chat.op7_chat,
+    "op8_media": media.op8_media,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
