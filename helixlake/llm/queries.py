@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import chat, decontaminate, language, media, mixing, quality
+from helixlake.llm import chat, decontaminate, language, media, mixing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": mixing.op5_mixing,
     "op7_chat": chat.op7_chat,
     "op8_media": media.op8_media,
+    "op9_pii": pii.op9_pii,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
