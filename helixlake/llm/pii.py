@@ -97,6 +97,12 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
+def overlong_spans(text: str) -> list[tuple[int, int]]:
+    """Matches dropped only for having too many digits: often two numbers side by side, of which nothing is known."""
+    out = [m.span() for m in _CARD.finditer(text) if m.end() - m.start() > 19 and len(_DIGITS.sub("", m[0])) > 19]
+    return out + [m.span() for m in _PHONE.finditer(text) if len(_DIGITS.sub("", m[0])) > 15]
+
+
 # ---------------------------------------------------------------- graph of tokens
 
 
@@ -119,11 +125,12 @@ def token_features(token: str) -> list[int]:
         21 + _bucket(letters, (1, 3, 6)),
         25 + _bucket(len(token), (3, 6, 10, 15, 20)),
         31 + (letters > 0 and digits > 0),
+        33 + (13 <= digits <= 19 and luhn(_DIGITS.sub("", token))),
     ]
 
 
-#: Features of a token, and of those of the tokens before and after it.
-OWN = 33
+#: Features of a token, and of those of the tokens before and after it; the last stands for a token that isn't there.
+OWN = 36
 SIZE = 3 * OWN
 
 
@@ -174,7 +181,7 @@ def build_graph(texts: list[str | None], bases: list[list[Span]]) -> Graph:
             g.doc.append(d)
             g.start.append(tokens[i][0])
             g.end.append(tokens[i][1])
-            near = [OWN * k + f for k, j in enumerate((i, i - 1, i + 1)) for f in own.get(j, [OWN - 1] * 10)]
+            near = [OWN * k + f for k, j in enumerate((i, i - 1, i + 1)) for f in own.get(j, [OWN - 1] * 11)]
             rows.append(near)
             known.append(label.get(i, -1))
             if before == i - 1:
@@ -264,12 +271,15 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.2, decay: float = 1e
     The unary factor is a multinomial logistic model by Adam; edge factors are
     smoothed log ratios of the counts of label pairs to what chance would give,
     and the skip factor lets repeats differ as rarely as they do in the sample.
+    Tokens in a match that was dropped for its length are left out of it all.
     With no texts, only the patterns count.
     """
     g = build_graph(texts, [base_spans(t) for t in texts])
     y = np.maximum(g.known, 0)
     unary = np.zeros((SIZE, LABELS))
-    if not len(y):
+    doubt = [overlong_spans(t) for t in texts]
+    told = (g.known >= 0) | ~np.array([any(a < e and s < b for a, b in doubt[d]) for d, s, e in zip(g.doc, g.start, g.end, strict=True)], bool)
+    if not told.any():
         unary[0, 0] = 20.0
         return Field(unary, np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     m, v = np.zeros_like(unary), np.zeros_like(unary)
@@ -277,14 +287,15 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.2, decay: float = 1e
     for step in range(1, steps + 1):
         z = unary[g.features].sum(axis=1)
         p = np.exp(z - _logsumexp(z))
-        slope = np.stack([sum(np.bincount(g.features[:, j], (p - goal)[:, k], minlength=SIZE) for j in range(g.features.shape[1])) for k in range(LABELS)], axis=1)
-        grad = slope / len(y) + decay * unary
+        slope = np.stack([sum(np.bincount(g.features[:, j], ((p - goal) * told[:, None])[:, k], minlength=SIZE) for j in range(g.features.shape[1])) for k in range(LABELS)], axis=1)
+        grad = slope / told.sum() + decay * unary
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         unary -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    share = (np.bincount(y, minlength=LABELS) + 1.0) / (len(y) + LABELS)
+    share = (np.bincount(y[told], minlength=LABELS) + 1.0) / (told.sum() + LABELS)
 
     def ratio(pairs: np.ndarray, smooth: np.ndarray) -> np.ndarray:
         count = smooth.copy()
+        pairs = pairs[told[pairs].all(axis=1)]
         np.add.at(count, (y[pairs[:, 0]], y[pairs[:, 1]]), 1.0)
         joint = count / count.sum()
         return np.clip(np.log(joint / np.outer(share, share)), -3, 3)
