@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import chat, decontaminate, language, media, mixing, pii, quality
+from helixlake.llm import chat, decontaminate, language, media, mixing, neardup, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_language": language.op2_language,
+    "op3_neardup": neardup.op3_neardup,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op7_chat": chat.op7_chat,
