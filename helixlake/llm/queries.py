@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixlake.llm import chat, decontaminate, language, media, mixing, neardup, pii, quality
+from helixlake.llm import chat, decontaminate, language, media, mixing, neardup, passages, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat": chat.op7_chat,
     "op8_media": media.op8_media,
     "op9_pii": pii.op9_pii,
+    "op10_passages": passages.op10_passages,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
