@@ -170,9 +170,7 @@ def _contested_pairs(members: DataFrame, nodes: DataFrame, component: DataFrame)
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     contested = placed.join(split, "key", "left_semi").select("node", "component").distinct()
     both = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(SPAN)), lambda j: F.xxhash64(i, j, F.col("bands")[i], F.col("bands")[(i + j) % BANDS]))))
-    fine = contested.join(nodes.select("node", "bands"), "node").select("node", "component", F.explode(both).alias("key"))
-    mixed = fine.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    fine = stored(fine.join(mixed, "key", "left_semi"), "fine")
+    fine = stored(contested.join(nodes.select("node", "bands"), "node").select("node", "component", F.explode(both).alias("key")), "fine")
     order = F.xxhash64("key", "node")
     seeds = fine.groupBy("key", F.pmod(order, F.lit(SEEDS)).alias("salt")).agg(F.min(F.struct(order, "node", "component")).alias("s"))
     seeds = seeds.select("key", F.col("s.node").alias("b"), F.col("s.component").alias("other"))
