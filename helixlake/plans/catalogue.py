@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from helixlake.plans import interval_queries
+
+FAMILIES = (interval_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for f in FAMILIES for k, v in f.ORACLES.items()}
