@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Words in a shingle.
 SHINGLE = 5
 
@@ -63,12 +63,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8, count=int(ends[-1] - ends[0]), offset=int(ends[0])), ends - ends[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) for runs of rows of about ``limit`` bytes."""
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, most: int = 1 << 30) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) for runs of rows of about ``limit`` bytes and at most ``most`` rows."""
     data, ends = flat(column)
     row, n = 0, len(ends) - 1
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1)
+        stop = min(row + most, max(row + 1, int(np.searchsorted(ends, ends[row] + limit, side="right")) - 1))
         yield row, data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
 
