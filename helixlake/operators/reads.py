@@ -5,10 +5,8 @@ Columns as in ``schema.READS``; filters are expressions, so they reach the scan.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from helixlake import schema as S
 from helixlake.operators.intervals import overlap_join
@@ -233,77 +231,57 @@ def strand_specificity(reads: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- base calls
 
-CALL = T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("base", T.StringType()), T.StructField("qual", T.IntegerType())]))
+_SEGMENTS = "cast(array() as array<struct<kind:string,pos:bigint,at:int,len:int>>)"
 
 
-def call_bases(start: int, cigar: list[tuple[int, int]], seq: str, qual: list[int], group_del: bool = False, ignore_indel: bool = False) -> list[tuple[int, str, int]]:
-    """What a read says about each reference position: (position, base, quality).
+def _segments() -> Column:
+    """Of a read, its matches (M), insertions (I) and deletions (D) in order: kind, reference position, offset in the read, length."""
 
-    Clipping is stripped and indels at the ends are dropped.  Inserted bases join
-    the base before them, with the rounded-down mean quality of all.  A deleted
-    base is ``-``, with the rounded-down mean quality of the bases beside the
-    deletion; ``group_del`` gives one call of as many dashes at its first base.
-    """
-    ops = [(int(o), int(n)) for o, n in cigar]
-    at = 0
-    if ops and ops[0][0] == 5:
-        ops = ops[1:]
-    if ops and ops[-1][0] == 5:
-        ops = ops[:-1]
-    if ops and ops[0][0] == 4:
-        at = ops[0][1]
-        ops = ops[1:]
-    if ops and ops[-1][0] == 4:
-        ops = ops[:-1]
-    pos = start
-    while ops and ops[0][0] in (1, 2):
-        at += ops[0][1] if ops[0][0] == 1 else 0
-        pos += ops[0][1] if ops[0][0] == 2 else 0
-        ops = ops[1:]
-    while ops and ops[-1][0] in (1, 2):
-        ops = ops[:-1]
-    out: list[tuple[int, str, int]] = []
-    for op, n in ops:
-        if op in (0, 7, 8):
-            out += [(pos + i, seq[at + i], int(qual[at + i])) for i in range(n)]
-            at, pos = at + n, pos + n
-        elif op == 1:
-            if not ignore_indel and out:
-                p, base, _ = out[-1]
-                held = [int(q) for q in qual[at - 1 : at + n]]
-                out[-1] = (p, base + seq[at : at + n], sum(held) // len(held))
-            at += n
-        elif op == 2:
-            if not ignore_indel and 0 < at < len(qual):
-                q = (int(qual[at - 1]) + int(qual[at])) // 2
-                out += [(pos, "-" * n, q)] if group_del else [(pos + i, "-", q) for i in range(n)]
-            pos += n
-        elif op == 3:
-            pos += n
-        else:
-            raise ValueError(f"CIGAR operation {op} inside a read")
-    return out
+    def step(acc: Column, c: Column) -> Column:
+        op, n = c["op"], c["len"]
+        kind = F.when(op.isin(0, 7, 8), "M").when(op == 1, "I").when(op == 2, "D")
+        made = F.array(F.struct(kind.alias("kind"), acc["pos"].alias("pos"), acc["at"].alias("at"), n.alias("len")))
+        return F.struct(
+            F.when(op.isin(0, 2, 3, 7, 8), acc["pos"] + n).otherwise(acc["pos"]).alias("pos"),
+            F.when(op.isin(0, 1, 4, 7, 8), acc["at"] + n).otherwise(acc["at"]).alias("at"),
+            F.when(kind.isNotNull(), F.concat(acc["out"], made)).otherwise(acc["out"]).alias("out"),
+        )
+
+    begin = F.struct(F.col("start").cast("long").alias("pos"), F.lit(0).alias("at"), F.expr(_SEGMENTS).alias("out"))
+    return F.aggregate("cigar", begin, step, lambda acc: acc["out"])
 
 
 def base_calls(reads: DataFrame, group_del: bool = False, ignore_indel: bool = False, min_baseq: int = 0) -> DataFrame:
-    """A row for each call of each read: the read's columns and pos, base, baseq.
+    """A row for each call of each read: the read's columns without sequence and CIGAR, and pos, base, baseq.
 
+    Clipping is stripped and indels before the first or after the last match are
+    dropped.  Inserted bases join the call before them, with the rounded-down mean
+    quality of all.  A deleted base is ``-``, with the rounded-down mean quality
+    of the bases beside the deletion; ``group_del`` gives one call of as many
+    dashes, at the first deleted base.  With ``ignore_indel`` there are neither.
     A read without sequence, qualities or CIGAR has no calls.
     """
-
-    @F.pandas_udf(CALL)
-    def calls(start: pd.Series, cigar: pd.Series, seq: pd.Series, qual: pd.Series) -> pd.Series:
-        out = []
-        for s, c, q, v in zip(start, cigar, seq, qual, strict=True):
-            if c is None or q is None or v is None or not len(c) or pd.isna(s):
-                out.append([])
-            else:
-                made = call_bases(int(s), [(x["op"], x["len"]) for x in c], q, list(v), group_del, ignore_indel)
-                out.append([{"pos": p, "base": b, "qual": k} for p, b, k in made])
-        return pd.Series(out)
-
-    rows = reads.withColumn("_c", F.explode(calls("start", "cigar", "seq", "qual")))
-    rows = rows.withColumns({"pos": F.col("_c.pos"), "base": F.col("_c.base"), "baseq": F.col("_c.qual")}).drop("_c", "cigar", "seq", "qual")
+    rows = reads.where(F.col("start").isNotNull() & F.col("seq").isNotNull() & F.col("qual").isNotNull() & (F.size("cigar") > 0))
+    rows = rows.withColumn("_s", _segments())
+    kinds = F.transform("_s", lambda s: s["kind"])
+    first = F.array_position(kinds, "M").cast("int")
+    last = (F.size("_s") - F.array_position(F.reverse(kinds), "M") + 1).cast("int")
+    rows = rows.where(first > 0).withColumn("_s", F.slice("_s", first, last - first + 1))
+    rows = rows.withColumn("_p", F.explode(F.transform("_s", lambda s, i: F.struct(s.alias("s"), F.get("_s", i + 1).alias("next"))))).drop("_s")
+    kind, length, at = F.col("_p.s.kind"), F.col("_p.s.len"), F.col("_p.s.at")
+    rows = rows.where((kind == "M") | ((kind == "D") & F.lit(not ignore_indel)))
+    calls = F.when((kind == "D") & F.lit(group_del), F.lit(1)).otherwise(length)
+    rows = rows.withColumn("_n", calls).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    i = F.col("_i")
+    inserted = F.lit(not ignore_indel) & (F.col("_p.next.kind") == "I") & (i == F.col("_n") - 1)
+    extra = F.coalesce(F.when(inserted, F.col("_p.next.len")), F.lit(0))
+    own = F.when(kind == "M", F.substring("seq", at + i + 1, F.lit(1))).when(F.lit(group_del), F.repeat(F.lit("-"), length)).otherwise(F.lit("-"))
+    base = F.concat(own, F.substring("seq", F.coalesce("_p.next.at", F.lit(0)) + 1, extra))
+    held = F.slice("qual", F.coalesce("_p.next.at", F.lit(1)), extra + 1)
+    joined = F.floor(F.aggregate(held, F.lit(0), lambda a, q: a + q) / (extra + 1)).cast("int")
+    beside = F.floor((F.get("qual", at - 1) + F.get("qual", at)) / 2).cast("int")
+    baseq = F.when(extra > 0, joined).when(kind == "D", beside).otherwise(F.get("qual", at + i))
+    rows = rows.withColumns({"pos": F.col("_p.s.pos") + i, "base": base, "baseq": baseq}).drop("_p", "_n", "_i", "cigar", "seq", "qual")
     return rows.where(F.col("baseq") >= min_baseq) if min_baseq else rows
 
 

@@ -47,8 +47,8 @@ for how, word in (("left_semi", "EXISTS"), ("left_anti", "NOT EXISTS")):
     )
 _add(
     "intersect_first",
-    lambda s, d: iv.intersect_intervals(b.features(s, d).select("id", "contig", "start", "end"), b.features(s, d).where("id % 7 = 0").select("contig", (F.col("start") + 3).alias("start"), (F.col("end") + 3).alias("end"), F.col("id").alias("other")), mode="first", **SHORT),
-    """, o AS (SELECT contig, start + 3 AS start, "end" + 3 AS "end", id AS other FROM features WHERE id % 7 = 0),
+    lambda s, d: iv.intersect_intervals(b.features(s, d).select("id", "contig", "start", "end"), b.features(s, d).select("contig", (F.col("start") + 3).alias("start"), (F.col("end") + 3).alias("end"), F.col("id").alias("other")), mode="first", **SHORT),
+    """, o AS (SELECT contig, start + 3 AS start, "end" + 3 AS "end", id AS other FROM features),
     j AS (SELECT f.id, f.contig, greatest(f.start, o.start) AS start, least(f."end", o."end") AS "end", o.other,
       row_number() OVER (PARTITION BY f.id ORDER BY o.start, o."end", o.other) AS k
       FROM features f JOIN o ON f.contig = o.contig AND f."end" > o.start AND f.start < o."end")
@@ -76,7 +76,7 @@ MERGE = """, m AS (SELECT contig, strand, start, "end", max("end") OVER (PARTITI
   g AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach - start < {1} THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m)
   SELECT contig, strand, min(start) AS start, max("end") AS "end", count(*) AS n_merged FROM g GROUP BY contig, strand, island"""
 _add("merge_strand", lambda s, d: iv.merge_intervals(_good(s, d), ["contig", "strand"], chunk=1024), MERGE.format(f"(SELECT * FROM reads WHERE {GOOD})", 1), "reads")
-_add("merge_gap", lambda s, d: iv.merge_intervals(b.features(s, d).where("id % 5 = 0"), ["contig", "strand"], -30, chunk=1024), MERGE.format("(SELECT * FROM features WHERE id % 5 = 0)", -30), "features")
+_add("merge_gap", lambda s, d: iv.merge_intervals(b.features(s, d).withColumn("strand", F.concat("strand", "term")), ["contig", "strand"], -30, chunk=1024), MERGE.format("(SELECT * REPLACE (strand || term AS strand) FROM features)", -30), "features")
 
 RUNS = """, e AS (SELECT contig, start AS pos, 1 AS d FROM {0} WHERE start < "end" UNION ALL SELECT contig, "end", -1 FROM {0} WHERE start < "end"),
   n AS (SELECT contig, pos, sum(d) AS d FROM e GROUP BY 1, 2 HAVING sum(d) <> 0),
@@ -92,8 +92,8 @@ _add(
 )
 _add(
     "bedgraph_regions",
-    lambda s, d: iv.clip(iv.coverage(_good(s, d), chunk=1024), b.features(s, d).where("id % 10 = 0").select("contig", "start", "end", "id"), **SHORT).select("id", "contig", "start", "end", "cov"),
-    RUNS.format(f"(SELECT * FROM reads WHERE {GOOD})") + ' SELECT f.id, f.contig, greatest(f.start, r.start) AS start, least(f."end", r."end") AS "end", r.cov FROM features f JOIN runs r ON f.contig = r.contig AND f."end" > r.start AND f.start < r."end" WHERE r.cov > 0 AND f.id % 10 = 0',
+    lambda s, d: iv.clip(iv.coverage(_good(s, d), chunk=1024), b.features(s, d).select("contig", "start", "end", "id"), **SHORT).select("id", "contig", "start", "end", "cov"),
+    RUNS.format(f"(SELECT * FROM reads WHERE {GOOD})") + ' SELECT f.id, f.contig, greatest(f.start, r.start) AS start, least(f."end", r."end") AS "end", r.cov FROM features f JOIN runs r ON f.contig = r.contig AND f."end" > r.start AND f.start < r."end" WHERE r.cov > 0',
     "reads", "features",
 )
 _add(
@@ -144,10 +144,10 @@ _add(
 )
 _add(
     "independent",
-    lambda s, d: iv.independent(b.features(s, d).where("id % 200 = 0").unionByName(b.features(s, d).where("contig = 'chr2' and id % 16 = 1"))),
-    """, f AS (SELECT * FROM features WHERE id % 200 = 0 UNION ALL SELECT * FROM features WHERE contig = 'chr2' AND id % 16 = 1),
-    m AS (SELECT contig, start, max("end") OVER (PARTITION BY contig ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
-    SELECT contig, bool_and(coalesce(reach <= start, true)) AS independent FROM m GROUP BY 1""",
+    lambda s, d: iv.independent(b.features(s, d).withColumn("end", F.col("start") + 20 + F.col("id") % 3 * 11), ["contig", "strand"]),
+    """, f AS (SELECT * REPLACE (start + 20 + id % 3 * 11 AS "end") FROM features),
+    m AS (SELECT contig, strand, start, max("end") OVER (PARTITION BY contig, strand ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM f)
+    SELECT contig, strand, bool_and(coalesce(reach <= start, true)) AS independent FROM m GROUP BY 1, 2""",
     "features",
 )
 _add(
