@@ -35,8 +35,9 @@ from helixlake.llm.common import crc_bucket, stored, table
 UNIT_BITS = 14
 ENDINGS = 4096
 CLASSES = 64
-#: Units in a slice of the bigram table.
-SLICE_BITS = 8
+#: Units in a slice of the bigram table (a power of two), and tasks of the counting pass whose results of a slice are merged at once.
+SLICE_BITS = 6
+MERGED = 64
 #: Words whose counts are broadcast, 13 bytes each.
 MOST_WORDS = 1_000_000
 #: Rounds of exchange at most, and the share of units that must move for another.
@@ -160,8 +161,9 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
     """
     shared = docs.sparkSession.sparkContext.broadcast(held)
     rows = docs.select(text)
-    shape = "slice int, side byte, codes binary, counts binary"
-    names = ["slice", "side", "codes", "counts"]
+    salts = -(-rows.rdd.getNumPartitions() // MERGED)
+    shape = "slice int, side byte, codes binary, counts binary, salt int"
+    names = ["slice", "side", "codes", "counts", "salt"]
 
     def cut(side: int, code: np.ndarray, n: np.ndarray) -> list[tuple]:
         part = code >> (UNIT_BITS + SLICE_BITS)
@@ -169,8 +171,9 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
         return [(int(part[a]), side, code[a:b].astype(np.uint32).tobytes(), n[a:b].astype(np.uint64).tobytes()) for a, b in zip(at, np.append(at[1:], len(code)), strict=True)]
 
     def batch_of(made: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
+        salt = TaskContext.get().partitionId() % salts
+        kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([(*m, salt)[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -215,12 +218,12 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
             return value, out
 
         for batch in batches:
-            for part, side, codes, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
-                key = part.as_py(), side.as_py()
+            for part, side, codes, counts, salt in zip(*(batch.column(i) for i in range(5)), strict=True):
+                key = part.as_py(), side.as_py(), salt.as_py()
                 if key != now:
                     if parts:
                         code, n = merged()
-                        yield batch_of([(*now, code.tobytes(), n.tobytes())])
+                        yield batch_of([(*now[:2], code.tobytes(), n.tobytes())])
                     now, parts, size = key, [], 0
                 parts.append((np.frombuffer(codes.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint64)))
                 size += len(parts[-1][0])
@@ -229,11 +232,14 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
                     size = len(parts[0][0])
         if parts:
             code, n = merged()
-            yield batch_of([(*now, code.tobytes(), n.tobytes())])
+            yield batch_of([(*now[:2], code.tobytes(), n.tobytes())])
 
     slices = 1 << (UNIT_BITS - SLICE_BITS)
-    sent = rows.mapInArrow(run, shape).repartition(slices, "slice").sortWithinPartitions("slice", "side")
-    return sent.mapInArrow(join, shape)
+    sent = rows.mapInArrow(run, shape)
+    if salts > 1:  # a slice's distinct pairs are bounded, so what is left after merging by salts is small
+        sent = sent.repartition(slices * salts, "slice", "salt").sortWithinPartitions("slice", "side", "salt").mapInArrow(join, shape)
+    sent = sent.withColumn("salt", F.lit(0)).repartition(slices, "slice").sortWithinPartitions("slice", "side")
+    return sent.mapInArrow(join, shape).drop("salt")
 
 
 def neighbours(unit: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

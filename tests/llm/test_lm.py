@@ -95,7 +95,8 @@ def test_exchange_raises_the_likelihood_and_finds_the_classes(docs):
     assert len({c for c, _ in of.values()}) == 4
 
 
-def test_bigrams_by_brute_force(docs):
+@pytest.mark.parametrize("parts", [5, 70])
+def test_bigrams_by_brute_force(docs, parts):
     texts = corpus()
     counts = lm.word_counts(docs)
     held, _ = lm.lookup(counts, 10**6)
@@ -110,7 +111,7 @@ def test_bigrams_by_brute_force(docs):
         line = [0, *(unit[w] for w in words(t)), 0]
         want.update(zip(line, line[1:], strict=False))
     got = {0: Counter(), 1: Counter()}
-    for r in lm.unit_bigrams(docs.repartition(5), held).collect():
+    for r in lm.unit_bigrams(docs.repartition(parts), held).collect():
         for code, n in zip(np.frombuffer(r["codes"], np.uint32).tolist(), np.frombuffer(r["counts"], np.uint64).tolist(), strict=True):
             a, b = code >> lm.UNIT_BITS, code & ((1 << lm.UNIT_BITS) - 1)
             got[r["side"]][(a, b) if r["side"] == 0 else (b, a)] += n
