@@ -234,7 +234,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
             code, n = merged()
             yield batch_of([(*now[:2], code.tobytes(), n.tobytes())])
 
-    slices = 1 << (UNIT_BITS - SLICE_BITS)
+    slices = min(1 << (UNIT_BITS - SLICE_BITS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sent = rows.mapInArrow(run, shape)
     if salts > 1:  # a slice's distinct pairs are bounded, so what is left after merging by salts is small
         sent = sent.repartition(slices * salts, "slice", "salt").sortWithinPartitions("slice", "side", "salt").mapInArrow(join, shape)
