@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +70,13 @@ def seeded_sample(df: DataFrame, key: Column, group: Column | None, most: int) -
     return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_bound", "_rank", "_key", "_group")
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def hex_digest(column: Column) -> Column:
     """Lower-case SHA-256 of a string's UTF-8 bytes."""
     return F.sha2(column, 256)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import table
+from helixlake.llm.common import sliced, table
 
 #: Edits allowed for each character of an item, before rounding to whole pairs of pieces.
 RATE = 0.1
@@ -220,7 +220,7 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
         lengths = {i: len(t) for i, t, _ in matcher.items}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 at, got = [], []
                 for r, value in enumerate(batch.column(1)):
                     for hit in matcher.find(normal(value.as_py())):
@@ -243,7 +243,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", rat
     for matcher in item_blocks(items, rate=rate):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not matcher.find(normal(v.as_py())) for v in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import crc_bucket, seeded_sample, table
+from helixlake.llm.common import crc_bucket, seeded_sample, sliced, table
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -113,7 +113,7 @@ def identify(docs: DataFrame, model: Dictionaries, text: str = "text", doc_id: s
     rows = docs.select(doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [model.classify(t.as_py()) for t in batch.column(1)]
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[doc_id, "lang_pred", "score", "rejected"])

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import kernels
-from helixlake.llm.common import crc_bucket, stored, table
+from helixlake.llm.common import crc_bucket, sliced, stored, table
 
 #: Units (a power of two), those of them that stand for endings, and classes.
 UNIT_BITS = 14
@@ -84,7 +84,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         def batch_of(word: np.ndarray, ending: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(word), pa.array(ending), pa.array(n)], names=["word", "ending", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts += batch.num_rows
             for _, _, word, ending, _ in tokens(batch.column(0)):
                 value, at, n = np.unique(word, return_index=True, return_counts=True)
@@ -192,7 +192,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
             order = np.argsort(other)
             yield batch_of(cut(1, other[order], n[order]))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for _, n, word, ending, row in tokens(batch.column(0)):
                 unit, _ = known.find(word, ending)
                 before, after = neighbours(unit, row, n)
@@ -217,7 +217,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
             np.add.at(out, place, n)
             return value, out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for part, side, codes, counts, salt in zip(*(batch.column(i) for i in range(5)), strict=True):
                 key = part.as_py(), side.as_py(), salt.as_py()
                 if key != now:
@@ -264,7 +264,7 @@ def class_sums(bigrams: DataFrame, classes: np.ndarray, n_classes: int) -> tuple
     per = 1 << SLICE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = []
             for part, side, codes, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
                 code, n = np.frombuffer(codes.as_py(), np.uint32).astype(np.int64), np.frombuffer(counts.as_py(), np.uint64)
@@ -400,7 +400,7 @@ def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "t
         end = np.flatnonzero(m.held.words == END)
         end_count = int(m.held.counts[end[0]]) if len(end) else 0
         rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in sliced(batches):
             for first, n, word, ending, row in tokens(batch.column(1)):
                 unit, count = m.held.find(word, ending)
                 before, after = neighbours(unit, row, n)

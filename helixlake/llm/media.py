@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import table
+from helixlake.llm.common import sliced, table
 
 #: Bytes in a block, and the most blocks in a frame that is written.
 UNIT = 64
@@ -384,7 +384,7 @@ def store_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     rows = docs.select(doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, media, total, first = [], [], 0, 0
             for i, value in enumerate(batch.column(1).cast(pa.large_binary())):
                 data = value.as_py() or b""
@@ -403,7 +403,7 @@ def read_payloads(media: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     rows = media.select(doc_id, "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, digests, payloads, clips = [], [], [], []
             for value in batch.column(2):
                 data = value.as_py()
@@ -432,7 +432,7 @@ def clip_rows(media: DataFrame, column: str = "media", media_id: str = "media_id
     rows = media.select(media_id, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for value in batch.column(1):
                 data, found = value.as_py(), []

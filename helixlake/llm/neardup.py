@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.llm import kernels
-from helixlake.llm.common import stored, table
+from helixlake.llm.common import sliced, stored, table
 from helixlake.llm.nodes import components, fingerprints, node_sequences, with_sequences
 
 #: Bands, rows in a band, and the least similarity of a link.  At 0.8 a pair shares a band with probability 0.9999.
@@ -37,7 +37,7 @@ SPAN, SEEDS = 7, 4
 #: How far below the threshold the signature's estimate of a pair may be: over three standard deviations.
 SLACK = 0.1
 #: Texts signed at once: each throws about 1300 darts.
-SIGNED = 400
+SIGNED = 150
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(12)])
 
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     rows = docs.select(F.col(doc_id).alias("doc_id"), text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             for first, data, ends in kernels.chunks(batch.column(1), most=SIGNED):
                 n = len(ends) - 1
                 h, _, _, r = kernels.tokenize(data, ends, words=True)
@@ -186,7 +186,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     need = BANDS * ROWS * (least - SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= need))
@@ -210,7 +210,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float,
     sequences = stored(node_sequences(docs, named.join(nodes, "node").select("rep").distinct(), text, doc_id), "sequences")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             got = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             s = pa.array(got, pa.float64())
             keep = pa.array([x >= least for x in got], pa.bool_())
@@ -258,7 +258,7 @@ def _with_node(docs: DataFrame, text: str) -> DataFrame:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             node, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, data, ends in kernels.chunks(batch.column(at)):
                 h, _, _, r = kernels.tokenize(data, ends, words=True)

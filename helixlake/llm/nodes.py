@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.llm import kernels
-from helixlake.llm.common import stored
+from helixlake.llm.common import sliced, stored
 
 
 def fingerprints(h: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +37,7 @@ def document_nodes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = docs.select(doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             node, words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, data, ends in kernels.chunks(batch.column(1)):
                 h, _, _, r = kernels.tokenize(data, ends, words=True)
@@ -55,7 +55,7 @@ def node_sequences(docs: DataFrame, wanted: DataFrame, text: str = "text", doc_i
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted.select("rep"), F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             node, seq = [], []
             for _, data, ends in kernels.chunks(batch.column(0)):
                 h, _, _, r = kernels.tokenize(data, ends, words=True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixlake.llm.common import seeded_sample, table
+from helixlake.llm.common import seeded_sample, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Labels of tokens: none, then the kinds.
@@ -352,7 +352,7 @@ def tag(docs: DataFrame, field: Field, text: str = "text", doc_id: str = "doc_id
     names = [*(f"n_{k}" for k in KINDS), "n_added"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = find_spans(batch.column(1).to_pylist(), field)
             columns = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
             columns.append(pa.array([len(added) for _, added in found], pa.int64()))
@@ -380,7 +380,7 @@ def redact(docs: DataFrame, field: Field, text: str = "text", n_chars: str = "n_
     length = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(at).to_pylist()
             found = find_spans(texts, field)
             new = [redacted(t, base + added) if base or added else t for t, (base, added) in zip(texts, found, strict=True)]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.llm import kernels
-from helixlake.llm.common import crc_bucket, seeded_sample, table
+from helixlake.llm.common import crc_bucket, seeded_sample, sliced, table
 
 #: Names of the statistics, in the order of the columns of ``features``.
 FEATURES = (
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, positive_ids: DataFrame, train: Column, text: str = "
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_role", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = features(batch.column(2))
             flat = pa.array(x.astype(np.float64).ravel())
             offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", doc_id: s
     rows = docs.select(doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(features(batch.column(1))))], names=[doc_id, "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[doc_id], T.StructField("score", T.DoubleType())]))
@@ -218,7 +218,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text: str = "te
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= least))
 
     return docs.mapInArrow(run, docs.schema)
