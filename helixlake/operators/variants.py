@@ -185,9 +185,8 @@ def repeat_context(variants: DataFrame, sequences: DataFrame, flank: int = 100)
     right = F.substring("_seq", F.col("_at") + 1, F.lit(flank))
     begin = F.greatest(F.lit(0), F.col("_at") - flank)
     left = F.substring("_seq", begin + 1, F.col("_at") - begin)
-    one = F.concat(F.lit("^((?:"), F.col("monomer"), F.lit(")*)"))
-    back = F.concat(F.lit("^((?:"), F.reverse("monomer"), F.lit(")*)"))
-    copies = (F.length(F.regexp_extract(right, one, 1)) + F.length(F.regexp_extract(F.reverse(left), back, 1))) / m
+    run = lambda text, unit: F.coalesce(F.length(F.regexp_substr(text, F.concat(F.lit("^(?:"), unit, F.lit(")+")))), F.lit(0))
+    copies = (run(right, F.col("monomer")) + run(F.reverse(left), F.reverse("monomer"))) / m
     rows = rows.withColumn("_indel", indel).withColumn("monomer", F.when(F.col("_indel").isNotNull(), F.substring("_indel", F.lit(1), unit))).withColumn("_at", at)
     rows = rows.withColumn("mono_ref", copies.cast("int"))
     change = (n / m).cast("int")
