@@ -109,7 +109,7 @@ GENES = """, rev AS (SELECT p_partkey AS gene, coalesce(sum(l_quantity), 0) AS q
   ok AS (SELECT *, hits >= 3 AND size BETWEEN 5 AND 500 AS fits FROM g),
   tail AS (SELECT term, query, sum(exp(lgamma(size + 1) - lgamma(x + 1) - lgamma(size - x + 1) + lgamma(background - size + 1) - lgamma(drawn - x + 1) - lgamma(background - size - drawn + x + 1) - lgamma(background + 1) + lgamma(drawn + 1) + lgamma(background - drawn + 1))) AS p
     FROM (SELECT *, unnest(range(hits, least(size, drawn) + 1)) AS x FROM ok WHERE fits) WHERE x >= drawn + size - background GROUP BY 1, 2),
-  e AS (SELECT ok.term, ok.query, background, drawn, size, hits, fits, least(1.0, p) AS p FROM ok LEFT JOIN tail USING (term, query)),
+  e AS (SELECT ok.term, ok.query, background, drawn, size, hits, fits, CASE WHEN p IS NOT NULL THEN least(1.0, p) END AS p FROM ok LEFT JOIN tail USING (term, query)),
   r AS (SELECT *, count(p) OVER () AS m, CASE WHEN p IS NOT NULL THEN count(p) OVER (ORDER BY p NULLS LAST) END AS k FROM e),
   f AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(p * m / k) OVER (ORDER BY p DESC NULLS LAST ROWS UNBOUNDED PRECEDING)) END AS fdr FROM r)"""
 
