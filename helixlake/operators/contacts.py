@@ -210,6 +210,28 @@ def mean_by_distance(cells: DataFrame, by: list[str], remove_zero: bool = True)
     return rows.groupBy(*by, F.abs("dist").alias("dist")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
+def mean_by_distance_with_zeros(cells: DataFrame, bins: DataFrame, by: list[str]) -> DataFrame:
+    """(by, dist, n, mean) over all pairs of bins of a contig at one distance, those without contacts too.
+
+    ``cells`` has both halves; ``bins`` are of one width and numbered without
+    gaps within a contig.  The pairs are counted by arithmetic, not made: a contig
+    of m bins has m - k pairs at a distance of k bins, twice that in both halves.
+    """
+    per = bins.groupBy("contig").agg(F.count(F.lit(1)).alias("m"), F.min(F.col("end") - F.col("start")).alias("w"))
+    steps = per.select(F.col("w"), F.col("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("k"))
+    pairs = steps.groupBy((F.col("k") * F.col("w")).cast("double").alias("dist")).agg(F.sum((F.col("m") - F.col("k")) * F.when(F.col("k") == 0, 1).otherwise(2)).alias("n"))
+    sums = cells.groupBy(*by, F.abs("dist").cast("double").alias("dist")).agg(F.sum("value").alias("_s"))
+    groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
+    grid = pairs.crossJoin(F.broadcast(groups))  # distances by samples: the result's own size
+    return grid.join(sums, [*by, "dist"], "left").select(*by, "dist", "n", (F.coalesce("_s", F.lit(0)) / F.col("n")).alias("mean"))
+
+
+def self_ligation_rate(matrix: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rate): share of a matrix's contacts that lie on its diagonal; both halves count."""
+    own = F.sum(F.when(F.col("i") == F.col("j"), F.col("value")).otherwise(0))
+    return matrix.groupBy(*by).agg(F.try_divide(own, F.sum(F.col("value") * F.when(F.col("i") == F.col("j"), 1).otherwise(2))).alias("rate"))
+
+
 def distance_quantile(cells: DataFrame, quantiles: list[float], by: list[str] | None = None) -> DataFrame:
     """(by, i, quantile, dist): the distance at which a bin's values, in order of distance, have summed to the quantile.
 

@@ -354,3 +354,43 @@ def chromosome_arms(contigs: DataFrame, centromeres: DataFrame, named: bool = Fa
     )
     rows = contigs.join(c, "contig").select("contig", arm.alias("a")).select("contig", "a.start", "a.end", F.concat("contig", "a.arm").alias("name")).where("end > start")
     return rows if named else rows.drop("name")
+
+
+# ---------------------------------------------------------------- order and samples
+
+
+def sorted_by_place(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows in order of contig and start, in range partitions: a global sort that leaves its partitions to be written side by side."""
+    n = [partitions] if partitions else []
+    return df.repartitionByRange(*n, "contig", "start", "end").sortWithinPartitions("contig", "start", "end")
+
+
+def numbered(df: DataFrame, keys: list[str] | None = None, name: str = "index", chunk: int = ordered.CHUNK) -> DataFrame:
+    """Rows with their number, from 0, in order of start and end within ``keys``; equal intervals are numbered in any order."""
+    keys = keys or ["contig"]
+    ones = ordered.running_sum(df.withColumn("_one", F.lit(1).cast("long")), keys, "start", "_one", name, ["start", "end"], chunk)
+    return ones.withColumn(name, F.col(name) - 1).drop("_one")
+
+
+def covered_in_all(wide: DataFrame, samples: list[str], least: float) -> DataFrame:
+    """Rows of an interval-by-sample table in which every sample reaches ``least``."""
+    return wide.where(F.least(*[F.coalesce(c, F.lit(0)) for c in samples], F.lit(float("inf"))) >= least)
+
+
+def union_distinct(*sets: DataFrame) -> DataFrame:
+    """Distinct rows of several tables of the same columns."""
+    return reduce(DataFrame.unionByName, sets).distinct()
+
+
+def require_subset(part: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
+    """``part``, failing when it runs on a key that ``whole`` lacks."""
+    known = whole.select(*key).distinct().withColumn("_known", F.lit(True))
+    message = F.concat(F.lit("not in the whole: "), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
+    return part.join(known, key, "left").where(F.when(F.col("_known"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_known")
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """``a``, failing when it runs on a key that ``b`` has too."""
+    known = b.select(*key).distinct().withColumn("_known", F.lit(True))
+    message = F.concat(F.lit("in both: "), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
+    return a.join(known, key, "left").where(F.when(F.col("_known").isNull(), F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_known")

@@ -218,3 +218,16 @@ def read_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> Da
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     got = lambda p: F.regexp_extract("value", p, 1)
     return rows.select("file", *[F.when(F.length(got(p)) > 0, got(p)).alias(n) for n, p in patterns.items()])
+
+
+def read_snp_frequencies(spark: SparkSession, path: str, min_cov: int = 0) -> DataFrame:
+    """(contig, pos, cov, freq) of tables with the columns SNP (``contig:pos:...``), Cov and Freq, of ``min_cov`` or more."""
+    rows = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
+    part = F.split("SNP", ":")
+    out = rows.select(part[0].alias("contig"), part[1].cast("long").alias("pos"), F.col("Cov").try_cast("int").alias("cov"), F.col("Freq").try_cast("double").alias("freq"))
+    return out.where(F.col("cov") >= min_cov)
+
+
+def file_of(rows: DataFrame) -> DataFrame:
+    """Rows of a file scan with ``file``, the base name each came from."""
+    return rows.withColumn("file", F.col("_metadata.file_name"))

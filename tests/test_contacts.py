@@ -91,3 +91,12 @@ def test_quantiles_and_ratios(spark):
     members = ct.region_bins(bins, region)
     assert sorted(r["bin"] for r in members.collect()) == [0, 1]
     assert sorted((r["i"], r["j"]) for r in ct.submatrix(cells.where("i <= j"), members).collect()) == [(0, 0), (0, 1), (1, 1)]
+
+
+def test_means_with_zeros_and_self_ligation(spark):
+    bins = spark.createDataFrame([("c", 0, 10, 0), ("c", 10, 20, 1), ("c", 20, 30, 2), ("d", 0, 10, 3)], "contig string, start long, end long, bin long")
+    half = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0), (1, 2, 1.0), (3, 3, 4.0)], "i long, j long, value double")
+    cells = ct.with_distances(ct.mirrored(half), bins)
+    got = {r["dist"]: (r["n"], r["mean"]) for r in ct.mean_by_distance_with_zeros(cells, bins, []).collect()}
+    assert got == {0.0: (4, 1.5), 10.0: (4, 2.0), 20.0: (2, 0.0)}
+    assert ct.self_ligation_rate(half, []).first()["rate"] == 6 / 14

@@ -146,3 +146,17 @@ def test_validity_tiles_and_arms(spark):
     arms = iv.chromosome_arms(contigs, spark.createDataFrame([("a", 30, 40)], "contig string, start long, end long"), named=True)
     assert sorted(map(tuple, arms.collect())) == [("a", 0, 30, "a_ArmL"), ("a", 40, 100, "a_ArmR")]
     assert [r["independent"] for r in iv.independent(region).collect()] == [True]
+
+
+def test_order_sets_and_samples(spark):
+    df = spark.createDataFrame([("b", 5, 6), ("a", 9, 10), ("a", 1, 3), ("a", 1, 2)], "contig string, start long, end long")
+    assert [tuple(r) for r in iv.sorted_by_place(df, 2).collect()] == [("a", 1, 2), ("a", 1, 3), ("a", 9, 10), ("b", 5, 6)]
+    assert sorted((r["contig"], r["index"], r["end"]) for r in iv.numbered(df, chunk=4).collect()) == [("a", 0, 2), ("a", 1, 3), ("a", 2, 10), ("b", 0, 6)]
+    wide = spark.createDataFrame([(1, 5.0, 7.0), (2, 1.0, 9.0), (3, None, 9.0)], "id int, s double, t double")
+    assert [r["id"] for r in iv.covered_in_all(wide, ["s", "t"], 2).collect()] == [1]
+    assert iv.union_distinct(df, df).count() == 4
+    assert iv.require_subset(df, df, ["contig"]).count() == 4
+    with pytest.raises(Exception, match="not in the whole"):
+        iv.require_subset(df, df.where("contig = 'a'"), ["contig"]).collect()
+    with pytest.raises(Exception, match="in both"):
+        iv.require_disjoint(df, df, ["contig"]).collect()

@@ -141,6 +141,11 @@ def test_variant_context(spark):
     assert got == {10: ("T", 5, 3), 9: ("T", 5, 7), 15: ("CA", 3, 4), 2: (None, None, None)}
 
 
+def test_frequencies(spark, tmp_path):
+    path = put(tmp_path / "f.tsv", "SNP\tCov\tFreq\nc:5:A:G\t12\t0.5\nc:7:A:G\t3\tNA\n")
+    assert [tuple(r) for r in tables.read_snp_frequencies(spark, path, 10).collect()] == [("c", 5, 12, 0.5)]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([("c", i, f"q{i % 7}") for i in range(40)], "contig string, start long, qname string")
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
