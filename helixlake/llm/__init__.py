@@ -1,11 +1 @@
-"""Operators for training-data pipelines over document tables.
-
-Functions that run on executors are pickled by value, so a cluster needs no
-copy of this package on its workers.
-"""
-
-from pyspark import cloudpickle
-
-import helixlake
-
-cloudpickle.register_pickle_by_value(helixlake)
+"""Operators for training-data pipelines over document tables."""

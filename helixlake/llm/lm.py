@@ -159,7 +159,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
     one before (side 1); texts begin after an end token.  The arrays are sorted
     uint32 codes and uint64 counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    shared = docs.sparkSession.sparkContext.broadcast((held.words, held.counts, held.units))  # arrays, which any worker can unpickle
     rows = docs.select(text)
     salts = -(-rows.rdd.getNumPartitions() // MERGED)
     shape = "slice int, side byte, codes binary, counts binary, salt int"
@@ -176,7 +176,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array([(*m, salt)[i] for m in made], k) for i, k in enumerate(kinds)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Lookup(*shared.value)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -389,22 +389,23 @@ def learn(docs: DataFrame, train: Column, text: str = "text", most_words: int =
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row for each row; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.held.words, model.held.counts, model.held.units, model.classes, model.joint))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text)
     whole = model.least <= 1  # every word of the training texts is held
     base = float(np.log10(model.train_tokens + 0.5 * (model.distinct + 1)))
     names = ["doc_id", "rid", "n_tokens", "known", "counted", "chained", "rest", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        end = np.flatnonzero(m.held.words == END)
-        end_count = int(m.held.counts[end[0]]) if len(end) else 0
+        *parts, classes, joint = shared.value
+        held = Lookup(*parts)
+        end = np.flatnonzero(held.words == END)
+        end_count = int(held.counts[end[0]]) if len(end) else 0
         rid = TaskContext.get().partitionId() << 33
         for batch in sliced(batches):
             for first, n, word, ending, row in tokens(batch.column(1)):
-                unit, count = m.held.find(word, ending)
+                unit, count = held.find(word, ending)
                 before, after = neighbours(unit, row, n)
-                pair = m.joint[m.classes[before], m.classes[after]]
+                pair = joint[classes[before], classes[after]]
                 chained = np.bincount(np.concatenate([row, np.arange(n)]), pair, minlength=n)
                 if whole:
                     count = np.maximum(count, 0)
