@@ -16,6 +16,7 @@ from pyspark.sql import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,13 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here."""
+    """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here.
+
+    Lazy results read these tables, so they stay until ``drop_stored``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` has written in this process, once results that read them are written; how many there were."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def seeded_sample(df: DataFrame, key: Column, group: Column | None, most: int) -> DataFrame:
     """At most ``most`` rows for each group, those with the smallest ``key`` hash.
 
