@@ -24,6 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for those queries that SQL can express.
 ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
-    "op6_lm": lm.op6_lm,
     "op7_chat": chat.ORACLE,
 }
