@@ -7,13 +7,14 @@ depends on element and cell alone, so equal elements get equal darts in every
 document.  Each of the signature's coordinates keeps its earliest dart.  The
 number of darts depends on the signature, not on the document.
 
-Signatures are joined by bands.  A bucket is never expanded into its pairs.
-First each member is held against its bucket's most central one.  Buckets that
+Signatures are joined by bands.  First each member is held against its bucket's most central one.  Buckets that
 verified links then leave in several components are contested: their members
 are dealt into finer buckets by pairs of bands, and held against a few seeded
 members of other components in each.  Candidates whose signatures can't reach
 the threshold are dropped, and the others are verified on their whole shingle
-multisets.
+multisets.  In buckets that are contested even then, every pair of members of two
+components is held against each other, block by block, so that texts which share
+a bucket and are alike are always of one class.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ BANDS, ROWS, LEAST = 30, 6, 0.8
 SPAN, SEEDS = 7, 4
 #: How far below the threshold the signature's estimate of a pair may be: over three standard deviations.
 SLACK = 0.1
+#: Bytes of a bucket's members in a block.
+BLOCK_BYTES = 500_000
 #: Texts signed at once: each throws about 1300 darts.
 SIGNED = 150
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(12)])
@@ -139,8 +142,8 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 sig = dart_minhash(e, er, w, int(keep.sum()), BANDS * ROWS)
                 keys, low = bands_of(sig)[place[back]], (sig & np.uint64(255)).astype(np.uint8)[place[back]]
                 sketch = pa.array([low[i].tobytes() if count[i] else None for i in range(n)], pa.binary())
-                offsets = pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32), mask=np.append(count == 0, False))
-                columns = [batch.column(0).slice(first, n), pa.array(node, mask=count == 0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), sketch]
+                offsets = pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32))
+                columns = [batch.column(0).slice(first, n), pa.array(node, mask=count == 0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(count == 0)), sketch]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "bands", "sketch"])
 
     fields = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
@@ -153,7 +156,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _crowded(keys: DataFrame) -> DataFrame:
-    """(key, node, n) of the buckets of two nodes or more."""
+    """(key, node, i, n) of the buckets of two nodes or more."""
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return stored(keys.join(sizes, "key"), "members")
 
@@ -179,6 +182,92 @@ def _contested_pairs(members: DataFrame, nodes: DataFrame, component: DataFrame)
     return _pairs(fine.alias("f").join(seeds.alias("g"), (F.col("f.key") == F.col("g.key")) & (F.col("f.component") != F.col("g.other"))).select(F.col("f.node").alias("a"), "b"))
 
 
+def _blocks(contested: DataFrame, size: Column) -> DataFrame:
+    """(i, x, y, xs, ys): blocks of contested buckets' members that together hold every pair across components.
+
+    Members of a bucket's largest component are never paired with each other, so
+    their blocks meet only those of all other members.
+    """
+    held = contested.groupBy("key", "component").agg(F.sum(size).alias("size"))
+    most = held.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("large"), F.sum("size").alias("all"))
+    blocks = lambda bytes_: F.greatest(F.lit(1), F.ceil(bytes_ / BLOCK_BYTES)).cast("int")
+    most = most.select("key", "main", blocks(F.col("large")).alias("many"), blocks(F.col("all") - F.col("large")).alias("few"))
+    rows = contested.join(most, "key")
+    main = F.col("component") == F.col("main")
+    order = F.xxhash64("key", "node")
+    own = F.when(main, F.col("few") + F.pmod(order, F.col("many"))).otherwise(F.pmod(order, F.col("few"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    rows = rows.select("key", "i", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.struct("node", "component", "bands", "sketch", "seq").alias("m"))
+    return rows.groupBy("key", "i", "x", "y").agg(F.collect_list(F.when(F.col("own") == F.col("x"), F.col("m"))).alias("xs"), F.collect_list(F.when(F.col("own") != F.col("x"), F.col("m"))).alias("ys")).select("i", "x", "y", "xs", "ys")
+
+
+def _across(contested: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs across components in ``contested`` (key, i, node, component, bands, sketch, seq).
+
+    Where the members have no ``seq``, the similarity is null, and the pairs are
+    each block's first likely ones of every node: they name what is to be verified.
+    """
+    need = BANDS * ROWS * (least - SLACK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            i, x, y, xs, ys = (column[0].as_py() for column in batch.columns)
+            if x == y:
+                ys = xs
+            if not xs or not ys:
+                continue
+            found: list[tuple] = []
+            sketch = np.frombuffer(b"".join(m["sketch"] for m in ys), np.uint8).reshape(len(ys), -1)
+            component = np.array([m["component"] for m in ys], np.int64)
+            bands = np.array([m["bands"] for m in ys], np.int64)
+            root: dict[int, int] = {}
+            named: set[int] = set()
+
+            def find(c: int) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            for u, m in enumerate(xs):
+                at = np.flatnonzero(component != m["component"])
+                if x == y:
+                    at = at[at > u]
+                at = at[(sketch[at] == np.frombuffer(m["sketch"], np.uint8)).sum(axis=1) >= need]
+                if len(at) and i:  # a pair is held against each other in the first of the buckets it shares
+                    at = at[~(bands[at, :i] == np.array(m["bands"][:i], np.int64)).any(axis=1)]
+                for v in at.tolist():
+                    o = ys[v]
+                    if m["seq"] is None or o["seq"] is None:
+                        if not {m["node"], o["node"]} <= named:
+                            named |= {m["node"], o["node"]}
+                            found.append((m["node"], o["node"], None))
+                        continue
+                    c, d = find(m["component"]), find(o["component"])
+                    if c != d:
+                        alike = similarity(np.frombuffer(m["seq"], np.uint32), np.frombuffer(o["seq"], np.uint32))
+                        if alike >= least:
+                            root[c] = d
+                            found.append((m["node"], o["node"], alike))
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["a", "b", "similarity"])
+
+    size = F.length("sketch") + 8 * BANDS + F.coalesce(F.length("seq"), F.lit(0))
+    return _blocks(contested, size).mapInArrow(run, "a long, b long, similarity double")
+
+
+def _remaining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, component: DataFrame, least: float, text: str, doc_id: str) -> DataFrame | None:
+    """Links (a, b, similarity) across components that share a bucket, or None if there are no likely ones."""
+    placed = members.select("key", "i", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    contested = placed.join(split, "key", "left_semi").join(nodes.select("node", "bands", "sketch"), "node")
+    pairs = stored(_across(contested.withColumn("seq", F.lit(None).cast("binary")), least), "likely")
+    if pairs.isEmpty():
+        return None
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sequences = stored(node_sequences(docs, named.join(nodes, "node").select("rep").distinct(), text, doc_id), "sequences")
+    return stored(_across(contested.join(sequences, "node"), least), "links")
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs whose sketches don't rule out a similarity of ``least``."""
     first = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
@@ -231,12 +320,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     signed = stored(signatures(docs, text, doc_id), "signed")
     told = signed.where("node is not null").groupBy("node")
     nodes = stored(told.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
-    members = _crowded(nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", F.xxhash64("i", "band").alias("key")))
+    members = _crowded(nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", "i", F.xxhash64("i", "band").alias("key")))
     pairs = stored(likely(_central_pairs(members), nodes, least), "pairs")
     links = stored(verified(docs, nodes, pairs, least, text, doc_id), "links")
     more = _contested_pairs(members, nodes, components(links))
     more = stored(likely(more, nodes, least), "pairs")
     links = links.unionByName(stored(verified(docs, nodes, more, least, text, doc_id), "links"))
+    rest = _remaining_links(docs, members, nodes, components(links), least, text, doc_id)
+    links = links if rest is None else links.unionByName(rest.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     joined = nodes.select("node", "rep", "copies").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = joined.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("kept"))

@@ -77,6 +77,28 @@ def test_classes_equal_brute_force(spark):
     assert all(r["text"] == texts[r["doc_id"]] and r["key"] == "k" for r in kept)
 
 
+def test_pairs_on_one_template_do_not_depend_on_seeds(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SEEDS", 1)
+    monkeypatch.setattr(nd, "SPAN", 1)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijk") for _ in range(8))
+    template = [word() for _ in range(120)]
+    texts = []
+    for _ in range(130):  # texts of different pairs are about 0.7 alike, those of a pair 0.9
+        w = list(template)
+        for at in rng.sample(range(5, 115), 2):
+            w[at] = word()
+        texts.append(" ".join(w))
+        w[rng.randrange(5, 115)] = word()
+        texts.append(" ".join(w))
+    want = brute(texts)
+    assert len(set(want)) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (nd.__dict__.get("BLOCK_BYTES", 0), 20_000):
+        monkeypatch.setattr(nd, "BLOCK_BYTES", limit, raising=False)
+        assert dict(nd.near_duplicates(docs).select("doc_id", "class_id").collect()) == dict(enumerate(want))
+
+
 def test_rows_that_repeat_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, None), (2, "g h i j k l")], "doc_id long, text string")
     got = sorted((r["class_id"] or 0, r["class_size"]) for r in nd.near_duplicates(docs).collect())
