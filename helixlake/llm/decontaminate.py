@@ -1,10 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item that occurs in a text within k edits, cut into k + 1 pieces, has at
-least one piece that occurs there exactly.  An Aho-Corasick automaton over the
+A test item that occurs in a text within k edits, cut into the next larger even
+number of pieces, has at least one piece that occurs there exactly.  An Aho-Corasick automaton over the
 pieces of a block of items scans every document once; a hit is kept if its piece
 and a neighbour together match with at most one edit, which holds for some pair
-of every true match (k edits over (k + 1) / 2 pairs of pieces); and what is left
+of every true match (k edits over more than k / 2 pairs of pieces); and what is left
 is verified with Myers' bit-parallel distance over a window around the hit.
 
 Items are sent to the executors in blocks of bounded bytes, one pass over the
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from helixlake.llm.common import sliced, table
 
-#: Edits allowed for each character of an item, before rounding to whole pairs of pieces.
+#: Edits allowed for each character of an item.
 RATE = 0.1
 #: Normalised items shorter than this are evidence of nothing and match nothing.
 LEAST_CHARS = 32
@@ -41,13 +41,14 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, rate: float = RATE) -> int:
-    """Edits allowed for an item: about ``rate`` of its characters, such that budget + 1 is even and at least 2."""
-    return max(1, (int(rate * length) + 1) // 2 * 2 - 1)
+    """Edits allowed for an item: ``rate`` of its characters, and at least 1."""
+    return max(1, int(rate * length))
 
 
 def pieces(length: int, edits: int) -> list[tuple[int, int]]:
-    """Bounds of edits + 1 pieces of nearly equal length."""
-    return [(length * j // (edits + 1), length * (j + 1) // (edits + 1)) for j in range(edits + 1)]
+    """Bounds of pieces of nearly equal length: the least even number of them above ``edits``."""
+    n = (edits | 1) + 1
+    return [(length * j // n, length * (j + 1) // n) for j in range(n)]
 
 
 def peq(pattern: str) -> dict[str, int]:

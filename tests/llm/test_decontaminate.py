@@ -75,3 +75,12 @@ def test_query(spark):
     assert sorted(r["doc_id"] for r in d.drop_contaminated(docs, items).collect()) == [3, 4, 5]
     blocks = list(d.item_blocks(items, block_chars=10))
     assert len(blocks) == 2  # the item, then the short one
+
+
+def test_a_tenth_of_the_characters_may_be_edited():
+    rng = random.Random(9)
+    for length in (40, 60, 80, 100, 120):
+        item = "".join(rng.choice("abcdefgh") for _ in range(length))
+        text = "".join("z" if i % 10 == 4 else c for i, c in enumerate(item))
+        got = d.Matcher([(1, item)]).find("xxxx " + text + " yyyy")
+        assert [(h[0], h[1]) for h in got] == [(1, length // 10)]
