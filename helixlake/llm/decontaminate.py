@@ -27,7 +27,7 @@ from helixlake.llm.common import sliced, table
 
 #: Edits allowed for each character of an item.
 RATE = 0.1
-#: Normalised items shorter than this are evidence of nothing and match nothing.
+#: Normalised items shorter than this match only exactly and on word bounds, and no document is dropped for them.
 LEAST_CHARS = 32
 #: Characters of items sent to the executors at once.
 BLOCK_CHARS = 4_000_000
@@ -102,11 +102,16 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 : n] or a[i:] == b[i + 1 : n + 1] or a[i + 1 :] == b[i : n - 1]
 
 
+def _bound(text: str, at: int) -> bool:
+    """May a word begin or end at ``at``?  Between characters of scripts without spaces (from U+2E80) any place will do."""
+    return at in (0, len(text)) or any(c == " " or c >= "\u2e80" for c in text[at - 1 : at + 1])
+
+
 class Matcher:
     """Finds a block of items, a list of (id, normalised text), in normalised texts."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float = RATE) -> None:
-        self.items = [(i, t, budget(len(t), rate)) for i, t in items if len(t) >= LEAST_CHARS]
+    def __init__(self, items: list[tuple[object, str]], rate: float = RATE, least: int = 1) -> None:
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= LEAST_CHARS else 0) for i, t in items if len(t) >= least]
         self.rate = rate
         self._automaton = None
 
@@ -118,6 +123,9 @@ class Matcher:
         self._reverse = [t[::-1] for _, t, _ in self.items]
         self._masks: list = [None] * len(self.items)
         for n, (_, text, edits) in enumerate(self.items):
+            if len(text) < LEAST_CHARS:
+                found.setdefault(text, []).append((n, -1, 0))
+                continue
             for j, (a, b) in enumerate(pieces(len(text), edits)):
                 found.setdefault(text[a:b], []).append((n, j, a))
         self._automaton = ahocorasick.Automaton()
@@ -171,7 +179,9 @@ class Matcher:
         return best
 
     def _pair(self, n: int, j: int, text: str, a: int, b: int) -> bool:
-        """Does the other piece of piece j's pair match next to it with at most one edit?"""
+        """Does the other piece of piece j's pair match next to it with at most one edit?  A whole short item, j = -1, should stand on word bounds."""
+        if j < 0:
+            return _bound(text, a) and _bound(text, b)
         item, cuts = self.items[n][1], self._cuts[n]
         if j % 2 == 0:
             c, d = cuts[j + 1]
@@ -180,8 +190,8 @@ class Matcher:
         return near(item[c:d][::-1], text[max(0, a - (d - c) - 1) : a][::-1])
 
 
-def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS) -> Iterator[Matcher]:
-    """Matchers over the distinct items, in blocks of at most about ``block_chars`` characters."""
+def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text", rate: float = RATE, block_chars: int = BLOCK_CHARS, least: int = 1) -> Iterator[Matcher]:
+    """Matchers over the distinct items of ``least`` characters or more, in blocks of at most about ``block_chars`` characters."""
     block: list[tuple[object, str]] = []
     size = 0
     rows = items.where(F.col(text).isNotNull()).select(item_id, text).distinct().orderBy(item_id, text)
@@ -189,10 +199,10 @@ def item_blocks(items: DataFrame, item_id: str = "item_id", text: str = "text",
         block.append((row[0], normal(row[1])))
         size += len(block[-1][1])
         if size >= block_chars:
-            yield Matcher(block, rate)
+            yield Matcher(block, rate, least)
             block, size = [], 0
     if block:
-        yield Matcher(block, rate)
+        yield Matcher(block, rate, least)
 
 
 def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
@@ -201,7 +211,8 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
     Columns: ``doc_id``, ``item_id``, distance, start, end (code points of the
     normalised text), similarity (1 - distance / item's length).  One row, the
     best match, for each item text in each document row.  Null and empty texts
-    match nothing, nor do items of fewer than ``LEAST_CHARS`` characters.
+    match nothing; items of fewer than ``LEAST_CHARS`` characters match exactly,
+    on word bounds, and end - start is their length.
     """
     rows = docs.select(doc_id, text)
     out = T.StructType(
@@ -239,9 +250,9 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows in which no item occurs within its edit budget, with all their columns."""
+    """The rows in which no item of ``LEAST_CHARS`` characters or more occurs within its edit budget, with all their columns."""
     at = docs.columns.index(text)
-    for matcher in item_blocks(items, rate=rate):
+    for matcher in item_blocks(items, rate=rate, least=LEAST_CHARS):
 
         def run(batches: Iterator[pa.RecordBatch], matcher: Matcher = matcher) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):

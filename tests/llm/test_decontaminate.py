@@ -84,3 +84,12 @@ def test_a_tenth_of_the_characters_may_be_edited():
         text = "".join("z" if i % 10 == 4 else c for i, c in enumerate(item))
         got = d.Matcher([(1, item)]).find("xxxx " + text + " yyyy")
         assert [(h[0], h[1]) for h in got] == [(1, length // 10)]
+
+
+def test_short_items_match_exactly_on_word_bounds():
+    cjk = "\u4eca\u5929\u5929\u6c14\u5f88\u597d"
+    matcher = d.Matcher([(1, "two plus two"), (2, cjk), (3, "x"), (4, "")])
+    assert sorted(matcher.find("what is two plus two now")) == [(1, 0, 8, 20)]
+    assert matcher.find("two plus twofold") == [] and matcher.find("two plus tvo") == []
+    assert sorted(matcher.find("x two plus twos two plus two")) == [(1, 0, 16, 28), (3, 0, 0, 1)]
+    assert matcher.find("\u4ed6\u8bf4" + cjk + "\u5417") == [(2, 0, 2, 8)]
