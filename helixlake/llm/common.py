@@ -62,11 +62,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that ``stored`` returned and that nothing reads any more."""
+    """Delete a table that ``stored`` returned and that nothing reads any more.
+
+    Shuffle files go once the driver's heap is cleared of the plans that made
+    them, which is asked for here.
+    """
     path = df._stored_at
     if path in _written:
         _written.remove(path)
         _delete(df.sparkSession, path)
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
