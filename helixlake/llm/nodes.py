@@ -71,6 +71,31 @@ def node_sequences(docs: DataFrame, wanted: DataFrame, text: str = "text", doc_i
     return rows.mapInArrow(run, "node long, seq binary").dropDuplicates(["node"])
 
 
+def text_sequences(docs: DataFrame, least_words: int = 1, text: str = "text") -> DataFrame:
+    """(node, seq) of all distinct texts of ``least_words`` words or more; see ``node_sequences``.  Copies in a batch are sent once."""
+    rows = docs.select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: set[int] = set()
+            for part in sliced([batch]):
+                node, seq = [], []
+                for _, data, ends in kernels.chunks(part.column(0)):
+                    h, _, _, r = kernels.tokenize(data, ends, words=True)
+                    f, count = fingerprints(h, r, len(ends) - 1)
+                    s, sr, _ = kernels.shingle(h, r)
+                    cut = np.searchsorted(sr, np.arange(len(ends)))
+                    s = (s >> np.uint64(32)).astype(np.uint32)
+                    for i in np.flatnonzero(count >= least_words).tolist():
+                        if f[i] not in seen:
+                            seen.add(int(f[i]))
+                            node.append(int(f[i]))
+                            seq.append(s[cut[i] : cut[i + 1]].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(seq, pa.binary())], names=["node", "seq"])
+
+    return rows.mapInArrow(run, "node long, seq binary").groupBy("node").agg(F.first("seq").alias("seq"))
+
+
 def with_sequences(pairs: DataFrame, sequences: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with seq_a and seq_b.  Many pairs may share a ``b``: a skewed join, which adaptive execution splits."""
     first = sequences.select(F.col("node").alias("a"), F.col("seq").alias("seq_a"))
