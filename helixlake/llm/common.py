@@ -47,14 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends here.
 
-    Lazy results read these tables, so they stay until ``drop_stored``.
+    Lazy results read these tables, so they stay until ``drop_stored``.  With
+    ``rows``, Python workers get at most that many rows in a batch meanwhile, for
+    rows that are long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        if rows:
+            spark.conf.set(setting, str(rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -62,16 +71,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that ``stored`` returned and that nothing reads any more.
-
-    Shuffle files go once the driver's heap is cleared of the plans that made
-    them, which is asked for here.
-    """
+    """Delete a table that ``stored`` returned and that nothing reads any more."""
     path = df._stored_at
     if path in _written:
         _written.remove(path)
         _delete(df.sparkSession, path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go: they do once the driver's heap is cleared of the plans that made them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
