@@ -45,6 +45,12 @@ def mix_int(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting: on long arrays of hashes several times faster than by a hash table."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Hashes as doubles in [0, 1)."""
     return (x >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
