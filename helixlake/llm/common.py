@@ -98,19 +98,21 @@ def drop_stored(spark: SparkSession) -> int:
 
 
 def seeded_sample(df: DataFrame, key: Column, group: Column | None, most: int) -> DataFrame:
-    """At most ``most`` rows for each group, those with the smallest ``key`` hash.
+    """At most ``most`` distinct rows for each group, those with the smallest ``key`` hash.
 
-    Two passes: counts give a hash bound that leaves a few times ``most`` rows of
-    a group, and only those are ranked, so no group meets in one task whole.
+    Two passes: numbers of keys give a hash bound that leaves a few times ``most`` rows of
+    a group, and only those are ranked, so no group meets in one task whole.  The
+    key should be of all columns that tell rows apart; equal rows count once, and
+    the smallest key is always within the bound.
     """
     group = F.lit(0) if group is None else group
     keyed = df.withColumns({"_group": group, "_key": key})
-    counts = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"))
+    counts = keyed.groupBy("_group").agg(F.approx_count_distinct("_key").alias("_n"), F.min("_key").alias("_least"))
     share = F.least(F.lit(1.0), F.lit(3.0 * most + 200.0) / F.col("_n"))
-    bound = (share * F.lit(float(2**63)) * 2 - F.lit(float(2**63))).cast("double")
-    near = keyed.join(F.broadcast(counts.select("_group", bound.alias("_bound"))), "_group").where(F.col("_key").cast("double") <= F.col("_bound"))
+    bound = F.greatest(share * F.lit(float(2**63)) * 2 - F.lit(float(2**63)), F.col("_least").cast("double"))
+    near = keyed.join(F.broadcast(counts.select(F.col("_group").alias("_of"), bound.alias("_bound"))), F.col("_group").eqNullSafe(F.col("_of"))).where(F.col("_key").cast("double") <= F.col("_bound")).drop("_of", "_bound").distinct()
     rank = F.row_number().over(Window.partitionBy("_group").orderBy("_key"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_bound", "_rank", "_key", "_group")
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank", "_key", "_group")
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

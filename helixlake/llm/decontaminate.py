@@ -136,7 +136,11 @@ class Matcher:
         self._cuts = [pieces(len(t), k) for _, t, k in self.items]
 
     def find(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(id, distance, start, end) of each item's best match in a normalised text.
+        """(id, distance, start, end) of each item's best match; see ``matches``."""
+        return [m[:4] for m in self.matches(text)]
+
+    def matches(self, text: str) -> list[tuple[object, int, int, int, int]]:
+        """(id, distance, start, end, item's length) of each item's best match in a normalised text.
 
         Of equal distances the one that ends first wins.  Bounds are in the
         normalised text.
@@ -168,7 +172,7 @@ class Matcher:
             if best:
                 end = best[1]
                 back = myers(self._masks[n][1], m, text[max(0, end - m - best[0]) : end][::-1], best[0], free=False)
-                out.append((name, best[0], end - back[1] if back else max(0, end - m), end))
+                out.append((name, best[0], end - back[1] if back else max(0, end - m), end, m))
         return out
 
     def _better(self, best: tuple[int, int] | None, n: int, text: str, a: int, b: int, edits: int) -> tuple[int, int] | None:
@@ -229,18 +233,16 @@ def find_items(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
         out = T.StructType([out[0], T.StructField(item_id, T.LongType()), *out.fields[2:]])
 
     def scan(matcher: Matcher):
-        lengths = {i: len(t) for i, t, _ in matcher.items}
-
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
                 at, got = [], []
                 for r, value in enumerate(batch.column(1)):
-                    for hit in matcher.find(normal(value.as_py())):
+                    for hit in matcher.matches(normal(value.as_py())):
                         at.append(r)
                         got.append(hit)
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array([g[0] for g in got], item_type)]
                 columns += [pa.array([g[i] for g in got], pa.int64()) for i in (1, 2, 3)]
-                columns.append(pa.array([1 - g[1] / lengths[g[0]] for g in got], pa.float64()))
+                columns.append(pa.array([1 - g[1] / g[4] for g in got], pa.float64()))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
         return run

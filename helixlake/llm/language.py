@@ -81,7 +81,7 @@ class Dictionaries:
 def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", size: int = 131072, snippets: int = 1300, max_languages: int = 500) -> Dictionaries:
     """Dictionaries of up to ``size`` bytes from at most ``snippets`` rows of each language where ``train`` holds.
 
-    Rows are those with the smallest id hashes; of each, a snippet from a hashed
+    Rows are those with the smallest hashes of id and text; of each, a snippet from a hashed
     place is taken, longer where there are fewer rows.  Equal snippets of a
     language count once.  Null texts and null languages teach nothing.
     """
@@ -90,7 +90,7 @@ def learn(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang"
     names = rows.select("_lang").distinct().limit(max_languages + 1).count()
     if names > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    key = F.xxhash64(F.lit("language"), F.col("_id"))
+    key = F.xxhash64(F.lit("language"), F.col("_id"), F.col("_text"))
     picked = seeded_sample(rows.withColumnRenamed("_lang", "_l"), key, F.col("_l"), snippets)
     counts = picked.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
     length = F.greatest(F.lit(130), (F.lit(1.3 * size) / F.col("_n")).cast("int"))

@@ -127,7 +127,7 @@ class Lookup:
 
 
 def lookup(counts: DataFrame, most_words: int) -> tuple[Lookup, int]:
-    """The words of the highest counts, at most ``most_words`` of them, and the least count that they all reach.
+    """The words of the highest counts, at most ``most_words`` of them and the end token, and the least count that they all reach.
 
     Units: 0 is the end token, then the endings, then the most frequent words.
     """
@@ -138,8 +138,8 @@ def lookup(counts: DataFrame, most_words: int) -> tuple[Lookup, int]:
             break
         least, total = n, total + k
     if least is None:
-        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), (by_count[0][0] + 1 if by_count else 1)
-    rows = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+        least = by_count[0][0] + 1 if by_count else 1
+    rows = counts.where((F.col("n") >= least) | (F.col("word") == END)).select("word", "n").toArrow()
     word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
     order = np.argsort(word)
     word, n = word[order], n[order]

@@ -363,11 +363,13 @@ def _with_node(docs: DataFrame, text: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """One row of each class, that of the smallest id, with all its columns; repeated rows of an id and text count as one."""
+    """One row of each class, that of the smallest id, with all its columns; repeated rows of an id and text count as one, and every row without words stays."""
     stay = near_duplicates(docs, text, doc_id, least).where("keep").select(F.col(doc_id).alias("_keep_id"), F.col("node").alias("_keep_node")).distinct()
     rows = _with_node(docs, text)
     same = F.col(doc_id).eqNullSafe(F.col("_keep_id")) & F.col("__node").eqNullSafe(F.col("_keep_node"))
-    return rows.join(stay, same, "left_semi").dropDuplicates([doc_id, "__node"]).drop("__node")
+    rows = rows.join(stay, same, "left_semi")
+    alone = rows.where(F.col("__node").isNull())
+    return rows.where(F.col("__node").isNotNull()).dropDuplicates([doc_id, "__node"]).unionByName(alone).drop("__node")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

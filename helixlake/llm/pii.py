@@ -337,8 +337,15 @@ def find_spans(texts: list[str | None], field: Field, sure: float = SURE) -> lis
 
 
 def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", most: int = 2000, longest: int = 20_000) -> Field:
-    """Fit on at most ``most`` documents with a digit or an at sign, those with the smallest id hashes among texts of at most ``longest`` characters."""
-    rows = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).where((F.length("_text") <= longest) & F.col("_text").rlike("[0-9@]"))
+    """Fit on at most ``most`` documents with a digit or an at sign, those with the smallest hashes of id and text.
+
+    Of a text longer than ``longest`` characters, a stretch of that many from a
+    hashed place is taken.
+    """
+    room = F.greatest(F.lit(1), F.length("_text") - longest).cast("long")
+    at = (F.pmod(F.xxhash64(F.lit("place"), "_text"), room) + 1).cast("int")
+    rows = docs.select(F.col(doc_id).cast("string").alias("_id"), F.col(text).alias("_text")).where(F.col("_text").rlike("[0-9@]"))
+    rows = rows.withColumn("_text", F.when(F.length("_text") <= longest, F.col("_text")).otherwise(F.substring("_text", at, F.lit(longest))))
     picked = seeded_sample(rows, F.xxhash64(F.lit("pii"), "_id", "_text"), None, most).dropDuplicates(["_text"]).orderBy("_text")
     return fit([r["_text"] for r in picked.select("_text").toLocalIterator()])
 

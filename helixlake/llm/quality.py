@@ -174,26 +174,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500, rate: f
 def learn(docs: DataFrame, positive_ids: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", max_positive: int = 4000, max_unlabelled: int = 8000) -> Model:
     """Fit on the documents named in ``positive_ids`` and on unlabelled ones where ``train`` holds.
 
-    Both samples are the rows with the smallest id hashes, at most ``max_positive``
-    and ``max_unlabelled`` of them; only those texts are read for training, and
-    only their statistics reach the driver.  With no positives or no documents
+    Both samples are the distinct rows with the smallest hashes of id and text, at
+    most ``max_positive`` and ``max_unlabelled`` of them; only their statistics
+    reach the driver.  With no positives or no documents
     the model accepts everything.
     """
-    key = F.xxhash64(F.lit("quality"), F.col("_id").cast("string"))
-    trusted = seeded_sample(positive_ids.select(F.col(doc_id).alias("_id")).distinct(), key, None, max_positive).select("_id", F.lit(1).alias("_role"))
-    web = seeded_sample(docs.where(train).select(F.col(doc_id).alias("_id")).distinct(), key, None, max_unlabelled).select("_id", F.lit(0).alias("_role"))
-    chosen = trusted.unionByName(web)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_role", "_text")
+    key = F.xxhash64(F.lit("quality"), F.col("_id").cast("string"), F.col("_hash"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"), F.coalesce(train, F.lit(False)).alias("_train"))
+    names = rows.select("_id", "_hash", "_train")
+    named = names.join(positive_ids.select(F.col(doc_id).alias("_id")), "_id", "left_semi").select("_id", "_hash")
+    trusted = seeded_sample(named, key, None, max_positive).withColumn("_role", F.lit(1))
+    web = seeded_sample(names.where("_train").select("_id", "_hash"), key, None, max_unlabelled).withColumn("_role", F.lit(0))
+    chosen = trusted.unionByName(web).select(F.col("_id").alias("_of"), F.col("_hash").alias("_which"), "_role")
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_hash") == F.col("_which"))
+    rows = rows.join(F.broadcast(chosen), same).select("_id", "_hash", "_role", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            x = features(batch.column(2))
+            x = features(batch.column(3))
             flat = pa.array(x.astype(np.float64).ravel())
             offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat)], names=["_id", "_role", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(offsets, flat)], names=["_id", "_hash", "_role", "x"])
 
-    out = T.StructType([rows.schema["_id"], rows.schema["_role"], T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = rows.mapInArrow(run, out).dropDuplicates(["_id", "_role"]).orderBy("_id").toArrow()
+    out = T.StructType([*rows.schema.fields[:3], T.StructField("x", T.ArrayType(T.DoubleType()))])
+    got = rows.mapInArrow(run, out).dropDuplicates(["_id", "_hash", "_role"]).orderBy("_id", "_hash").toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
     role = got["_role"].to_numpy()
     return fit(x[role == 1], x[role == 0])

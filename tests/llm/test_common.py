@@ -20,6 +20,14 @@ def test_sample_is_bounded_and_seeded(spark):
     assert c.seeded_sample(df.where("id < 3"), key, None, 5).count() == 3
 
 
+def test_sample_of_rows_with_one_key(spark):
+    rows = spark.range(20_000).select(c.F.lit(7).cast("long").alias("id"), (c.F.col("id") % 2500).cast("string").alias("text"))
+    key = c.F.xxhash64(c.F.lit("s"), "id", "text")
+    assert c.seeded_sample(rows, key, None, 300).count() == 300  # of distinct texts
+    same = spark.range(20_000).select(c.F.lit(None).cast("long").alias("id"), c.F.lit("a").alias("text"), c.F.lit(None).cast("string").alias("g"))
+    assert c.seeded_sample(same, key, c.F.col("g"), 300).count() == 1
+
+
 def test_stored_tables(spark, tmp_path):
     c.drop_stored(spark)
     df = c.stored(spark.range(5).toDF("x"), "t")

@@ -93,3 +93,11 @@ def test_short_items_match_exactly_on_word_bounds():
     assert matcher.find("two plus twofold") == [] and matcher.find("two plus tvo") == []
     assert sorted(matcher.find("x two plus twos two plus two")) == [(1, 0, 16, 28), (3, 0, 0, 1)]
     assert matcher.find("\u4ed6\u8bf4" + cjk + "\u5417") == [(2, 0, 2, 8)]
+
+
+def test_similarity_where_items_share_an_id(spark):
+    a, b = "the quick brown fox jumps over the lazy dog again", "pack my box with five dozen liquor jugs and then some more of them to be sure"
+    items = spark.createDataFrame([(1, a), (1, b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + a.replace("brown", "brawn")), (2, b)], "doc_id long, text string")
+    got = {r["doc_id"]: r["similarity"] for r in d.find_items(docs, items).collect()}
+    assert got == {1: 1 - 1 / len(a), 2: 1.0}

@@ -105,6 +105,8 @@ def test_rows_that_repeat_and_empty_tables(spark):
     assert got == [(0, 1), (1, 3), (1, 3), (1, 3), (2, 1)]
     assert sorted((r["doc_id"] or 0) for r in nd.drop_near_duplicates(docs).collect()) == [0, 1, 2]
     assert nd.near_duplicates(docs.limit(0)).count() == 0
+    blank = spark.createDataFrame([(None, ""), (None, "!!!"), (7, None), (7, "")], "doc_id long, text string")
+    assert nd.drop_near_duplicates(blank).count() == 4
 
 
 def test_signatures_estimate_weighted_similarity():
