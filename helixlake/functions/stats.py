@@ -145,19 +145,20 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]], method: str = "pea
     return out
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, digits: int = 20) -> DataFrame:
+def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
     """Kendall's tau-b, without comparing all pairs of rows.
 
     Discordant pairs are inversions of y's ranks in order of x.  They are counted
     bit by bit: two ranks that first differ at a bit meet in one group, that of
     their common higher bits, and there an inversion is a one before a zero, which
-    a running count in order of x finds.  Every row takes part in ``digits`` groups.
+    a running count in order of x finds.  Every row takes part in as many groups as
+    the highest rank has bits.
     """
     rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"))
     ys = rows.select("y").distinct().withColumn("k", F.dense_rank().over(Window.orderBy("y")) - 1)
     cells = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).join(ys, "y")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("bit")
-    bits = cells.select("x", "n", "k", bit)
+    top = ys.agg(F.length(F.bin(F.coalesce(F.max("k"), F.lit(0)))).alias("digits"))  # one row
+    bits = cells.crossJoin(F.broadcast(top)).select("x", "n", "k", F.explode(F.expr("sequence(0, digits - 1)")).alias("bit"))
     prefix = F.expr("shiftright(k, bit + 1)")
     one = F.expr("shiftright(k, bit) & 1") == 1
     steps = bits.groupBy("bit", prefix.alias("prefix"), "x").agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones"), F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("zeros"))

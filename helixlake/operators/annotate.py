@@ -84,11 +84,11 @@ def feature_intervals(gtf: DataFrame, classes: dict[str, list[str]]) -> DataFram
 def count_genes(reads: DataFrame, exons: DataFrame, stranded: bool = False, **how) -> DataFrame:
     """(gene, n): reads whose overlapping exons all belong to one gene; others count as __ambiguous and __no_feature."""
     on = ["contig", "strand"] if stranded else ["contig"]
-    tagged = reads.select(F.monotonically_increasing_id().alias("_read"), *on, "start", "end")
-    hits = overlap_join(tagged, exons.select(*on, "start", "end", "gene"), on, "left", **how)
-    each = hits.groupBy("_read").agg(F.min("gene").alias("lo"), F.max("gene").alias("hi"))
+    spots = reads.groupBy(*on, "start", "end").agg(F.count(F.lit(1)).alias("_reads"))  # reads of one place count alike
+    hits = overlap_join(spots, exons.select(*on, "start", "end", "gene"), on, "left", **how)
+    each = hits.groupBy(*on, "start", "end", "_reads").agg(F.min("gene").alias("lo"), F.max("gene").alias("hi"))
     gene = F.when(F.col("lo").isNull(), "__no_feature").when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise("__ambiguous")
-    return each.groupBy(gene.alias("gene")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(gene.alias("gene")).agg(F.sum("_reads").alias("n"))
 
 
 # ---------------------------------------------------------------- translations

@@ -82,9 +82,9 @@ def contact_matrix(pairs: DataFrame, bins: DataFrame) -> tuple[DataFrame, DataFr
     pair counts at (i, j) and (j, i), so twice where i = j; stored with i <= j.
     Outcomes: total, nochr, nobin, accepted; the first end that fails decides.
     """
-    tagged = pairs.select(F.monotonically_increasing_id().alias("_id"), "contig1", "pos1", "contig2", "pos2")
-    one = bin_of_points(tagged.select("_id", F.col("contig1").alias("contig"), F.col("pos1").alias("pos"), "contig2", "pos2"), bins)
-    one = one.select("_id", F.col("bin").alias("_b1"), F.col("outcome").alias("_o1"), F.col("contig2").alias("contig"), F.col("pos2").alias("pos"))
+    tagged = pairs.select("contig1", "pos1", "contig2", "pos2")
+    one = bin_of_points(tagged.select(F.col("contig1").alias("contig"), F.col("pos1").alias("pos"), "contig2", "pos2"), bins)
+    one = one.select(F.col("bin").alias("_b1"), F.col("outcome").alias("_o1"), F.col("contig2").alias("contig"), F.col("pos2").alias("pos"))
     both = bin_of_points(one, bins).select("_b1", "_o1", F.col("bin").alias("_b2"), F.col("outcome").alias("_o2"))
     outcome = F.when(F.col("_o1") != "found", F.col("_o1")).when(F.col("_o2") != "found", F.col("_o2")).otherwise("accepted")
     counts = both.groupBy(F.least("_b1", "_b2").alias("i"), F.greatest("_b1", "_b2").alias("j"), outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -52,6 +52,12 @@ def _bucketed(df: DataFrame, start: str, end: str, bucket: int, levels: int, sid
     return exploded.withColumn("_level", F.col("_k._level")).withColumn("_bucket", F.col("_k._bucket")).drop("_k")
 
 
+def _row_keys(df: DataFrame) -> dict[str, Column]:
+    """Two hashes that tell rows apart, equal for equal rows, whatever task or attempt makes them."""
+    parts = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes]
+    return {"_id": F.xxhash64(F.lit(1), *parts), "_id2": F.xxhash64(F.lit(2), *reversed(parts))}
+
+
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str] | None = None, how: str = "inner", bucket: int = 1 << 12, levels: int = 3, suffix: str = "_r", min_overlap: int | None = None) -> DataFrame:
     """Pairs of overlapping intervals, each once, without a cross product.
 
@@ -69,7 +75,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str] | None = None,
     names = {c: c + suffix if c in left.columns or c in ("start", "end") else c for c in keep}
     renamed = right.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[F.col(c).alias(names[c]) for c in keep])
     rs, re = names["start"], names["end"]
-    tagged = left if how == "inner" else left.withColumn("_id", F.monotonically_increasing_id())
+    tagged = left if how == "inner" else left.withColumns(_row_keys(left))
     a = _bucketed(tagged.where(F.col("start").isNotNull() & F.col("end").isNotNull()), "start", "end", bucket, levels, "a")
     b = _bucketed(renamed.where(F.col(rs).isNotNull() & F.col(re).isNotNull()), rs, re, bucket, levels, "b").withColumnsRenamed({"_level": "_level_b", "_bucket": "_bucket_b"})
     same = [F.col(c) == F.col(f"_on{i}") for i, c in enumerate(on)]
@@ -84,16 +90,18 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str] | None = None,
     out = [*left.columns, *names.values()]
     if how == "inner":
         return pairs.select(*out)
+    hit = pairs.select("_id", "_id2").distinct()
     if how == "left_semi":
-        return pairs.select("_id", *left.columns).dropDuplicates(["_id"]).drop("_id")
+        return tagged.join(hit, ["_id", "_id2"], "left_semi").select(*left.columns)
+    none = tagged.join(hit, ["_id", "_id2"], "left_anti")
     if how == "left_anti":
-        hit = pairs.select("_id").distinct()
-        return tagged.join(hit, "_id", "left_anti").select(*left.columns)
-    if how == "first":
-        rank = F.row_number().over(Window.partitionBy("_id").orderBy(rs, re, *[n for c, n in names.items() if c not in ("start", "end") and not dict(right.dtypes)[c].startswith("map")]))
-        return pairs.select("_id", *out).withColumn("_rank", rank).where("_rank = 1").select(*out)
+        return none.select(*left.columns)
+    if how == "first":  # equal rows have the same first
+        rank = F.row_number().over(Window.partitionBy("_id", "_id2").orderBy(rs, re, *[n for c, n in names.items() if c not in ("start", "end") and not dict(right.dtypes)[c].startswith("map")]))
+        best = pairs.select("_id", "_id2", *names.values()).withColumn("_rank", rank).where("_rank = 1")
+        return tagged.join(best, ["_id", "_id2"]).select(*out)
     if how == "left":
-        return tagged.select("_id", *left.columns).join(pairs.select("_id", *names.values()), "_id", "left").select(*out)
+        return pairs.select(*out).unionByName(none.select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in names.items()]))
     raise ValueError(f"unknown how: {how}")
 
 

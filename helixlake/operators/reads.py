@@ -83,9 +83,9 @@ def read_name(qname: str = "qname") -> Column:
 
 
 def start_windows(reads: DataFrame, size: int, contigs: DataFrame) -> DataFrame:
-    """A window of ``size`` around each read's own first base: contig, start, end, name, score, strand; cut at the contig's ends."""
+    """A window of ``size`` around each read's own first base: contig, start, end, name, score, strand; cut at the contig's ends.  Reads that begin past the contig have none."""
     site = F.when(S.has("flag", S.REVERSE), F.col("end")).otherwise(F.col("start"))
-    rows = reads.join(F.broadcast(contigs.select("contig", "length")), "contig")  # contigs are bounded by the genome
+    rows = reads.join(F.broadcast(contigs.select("contig", "length")), "contig").where(site - size // 2 < F.col("length"))  # contigs are bounded by the genome
     half = size // 2
     return rows.select(
         "contig",

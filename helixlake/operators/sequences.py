@@ -86,14 +86,14 @@ def chunked(fasta: DataFrame, width: int = 1 << 20) -> DataFrame:
 
 def subsequences(regions: DataFrame, chunks: DataFrame, width: int = 1 << 20, upper: bool = False) -> DataFrame:
     """Regions (contig, start, end, ...) with ``seq``, put together from the chunks they touch."""
-    spots = regions.withColumn("_id", F.monotonically_increasing_id())
+    spots = regions.select("contig", "start", "end").distinct()
     touched = spots.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / width).cast("int"), F.floor(F.greatest(F.col("start"), F.col("end") - 1) / width).cast("int"))))
     parts = touched.join(chunks.select("contig", "chunk", "chunk_start", F.col("seq").alias("_part")), ["contig", "chunk"])
     first = F.greatest(F.col("start") - F.col("chunk_start"), F.lit(0))
     last = F.col("end") - F.col("chunk_start")
     piece = F.substring("_part", (first + 1).cast("int"), F.greatest(F.lit(0), last - first).cast("int"))
-    joined = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
-    out = spots.join(joined, "_id").drop("_id")
+    joined = parts.groupBy("contig", "start", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
+    out = regions.join(joined, ["contig", "start", "end"]).select(*regions.columns, "seq")
     return out.withColumn("seq", F.upper("seq")) if upper else out
 
 

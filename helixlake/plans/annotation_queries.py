@@ -37,10 +37,10 @@ def _gtf(s, d):
 
 
 KNOWN = "(SELECT contig FROM contigs WHERE ordinal < 6)"
-_add("filter_gtf", lambda s, d: an.filter_gtf(_gtf(s, d), b.contigs(s).where("ordinal < 6")).select("id", "contig", "source", "start", "end"), GTF + f' SELECT id, contig, source, start, "end" FROM gtf WHERE feature = \'exon\' AND contig IN {KNOWN}', "features", "contigs")
+_add("filter_gtf", lambda s, d: an.filter_gtf(_gtf(s, d), b.contigs(s, d).where("ordinal < 6")).select("id", "contig", "source", "start", "end"), GTF + f' SELECT id, contig, source, start, "end" FROM gtf WHERE feature = \'exon\' AND contig IN {KNOWN}', "features", "contigs")
 _add(
     "filter_gtf_counts",
-    lambda s, d: an.filter_gtf_counts(_gtf(s, d), b.contigs(s).where("ordinal < 6")),
+    lambda s, d: an.filter_gtf_counts(_gtf(s, d), b.contigs(s, d).where("ordinal < 6")),
     GTF + f" SELECT count(*) AS total, count(*) FILTER (WHERE contig NOT IN {KNOWN}) AS unknown_contig, count(*) FILTER (WHERE contig IN {KNOWN} AND feature <> 'exon') AS other_feature, count(*) FILTER (WHERE contig IN {KNOWN} AND feature = 'exon') AS accepted FROM gtf",
     "features", "contigs",
 )
@@ -244,7 +244,7 @@ _add(
 )
 _add("depth_ratio", lambda s, d: vr.depth_ratio(_callset(s, d), _callset(s, d), "normal_ref").unionByName(vr.depth_ratio(_callset(s, d).withColumn("depth", F.col("normal_ref") * 2), _callset(s, d).withColumn("depth", F.col("tumour_ref") * 2))), CALLSET + " SELECT 1.0::DOUBLE AS ratio UNION ALL SELECT sum(normal_ref * 2) / sum(tumour_ref * 2) FROM cs", "points")
 _add("frequency_histogram", lambda s, d: vr.frequency_histogram(_callset(s, d), "p", 20, ["contig"]), CALLSET + " SELECT contig, least(floor(p * 20), 19)::INTEGER AS bin, count(*) AS n FROM cs GROUP BY 1, 2", "points")
-_add("standard_contigs", lambda s, d: vr.standard_contigs(b.contigs(s).unionByName(b.contigs(s).withColumn("contig", F.concat(F.lit("un_"), "contig")))), " SELECT * FROM contigs", "contigs")
+_add("standard_contigs", lambda s, d: vr.standard_contigs(b.contigs(s, d).unionByName(b.contigs(s, d).withColumn("contig", F.concat(F.lit("un_"), "contig")))), " SELECT * FROM contigs", "contigs")
 _add(
     "expression_matrix",
     lambda s, d: b.table(s, d, "lineitem").groupBy("l_partkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.sum("l_quantity")).na.fill(0.0).select(F.col("l_partkey").alias("gene"), F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r")),

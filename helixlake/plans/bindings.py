@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BIN = 500
-CONTIG_LENGTH = 12_000
+#: Least length of a contig; the furthest read or feature ends within ``REACH`` of five times the last part's key.
+CONTIG_LENGTH, REACH = 12_000, 600
 CHROMOSOMES = 8
 
 VIEWS = {
-    "contigs": "SELECT 'chr' || (i + 1) AS contig, (12000 + i * 37)::BIGINT AS length, i::INTEGER AS ordinal FROM range(8) t(i)",
+    "contigs": "SELECT 'chr' || (i + 1) AS contig, (greatest(12000, (SELECT max(p_partkey) FROM part) * 5 + 600) + i * 37)::BIGINT AS length, i::INTEGER AS ordinal FROM range(8) t(i)",
     "reads": """
       SELECT l_orderkey AS qname, l_linenumber AS read_no, l_returnflag AS sample, 'chr' || (l_suppkey % 8 + 1) AS contig,
         l_partkey * 5 + l_linenumber AS start, l_partkey * 5 + l_linenumber + CAST(l_quantity AS BIGINT) AS "end",
@@ -45,9 +46,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def contigs(spark: SparkSession) -> DataFrame:
+def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("id")
-    return spark.range(CHROMOSOMES).select(F.concat(F.lit("chr"), i + 1).alias("contig"), (F.lit(CONTIG_LENGTH) + i * 37).alias("length"), i.cast("int").alias("ordinal"))
+    least = table(spark, sf_dir, "part").agg(F.greatest(F.lit(CONTIG_LENGTH), F.coalesce(F.max("p_partkey"), F.lit(0)) * 5 + REACH).alias("least"))  # one row
+    return spark.range(CHROMOSOMES).crossJoin(F.broadcast(least)).select(F.concat(F.lit("chr"), i + 1).alias("contig"), (F.col("least") + i * 37).alias("length"), i.cast("int").alias("ordinal"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ RUNS = """, e AS (SELECT contig, start AS pos, 1 AS d FROM {0} WHERE start < "en
 _add("bedgraph", lambda s, d: iv.coverage(_good(s, d), chunk=1024), RUNS.format(f"(SELECT * FROM reads WHERE {GOOD})") + ' SELECT contig, start, "end", cov FROM runs WHERE "end" IS NOT NULL AND cov > 0', "reads")
 _add(
     "bedgraph_zero",
-    lambda s, d: iv.coverage(b.reads(s, d).where("mapq >= 35"), zero=True, lengths=b.contigs(s), chunk=1024),
+    lambda s, d: iv.coverage(b.reads(s, d).where("mapq >= 35"), zero=True, lengths=b.contigs(s, d), chunk=1024),
     """, r AS (SELECT * FROM reads WHERE mapq >= 35), e AS (SELECT contig, start AS pos, 1 AS d FROM r UNION ALL SELECT contig, "end", -1 FROM r), n AS (SELECT contig, pos, sum(d) AS d FROM e GROUP BY 1, 2 HAVING sum(d) <> 0),
     z AS (SELECT contig, pos, sum(d) AS d FROM (SELECT * FROM n UNION ALL SELECT contig, 0, 0 FROM contigs UNION ALL SELECT contig, length, 0 FROM contigs) GROUP BY 1, 2),
     runs AS (SELECT contig, pos AS start, lead(pos) OVER w AS "end", (sum(d) OVER w)::BIGINT AS cov FROM z WINDOW w AS (PARTITION BY contig ORDER BY pos)) SELECT * FROM runs WHERE "end" IS NOT NULL""",
@@ -158,24 +158,24 @@ _add(
 )
 _add(
     "check_intervals",
-    lambda s, d: iv.check_intervals(b.reads(s, d).select("qname", "read_no", "contig", "start", F.when(F.col("mapq") == 0, F.col("start")).otherwise(F.col("end") * 2).alias("end")), b.contigs(s).where("ordinal < 6")).groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
+    lambda s, d: iv.check_intervals(b.reads(s, d).select("qname", "read_no", "contig", "start", F.when(F.col("mapq") == 0, F.col("start")).otherwise(F.col("end") * 2).alias("end")), b.contigs(s, d).where("ordinal < 6")).groupBy("problem").agg(F.count(F.lit(1)).alias("n")),
     """, r AS (SELECT contig, start, CASE WHEN mapq = 0 THEN start ELSE "end" * 2 END AS "end" FROM reads)
     SELECT CASE WHEN c.contig IS NULL THEN 'unknown contig' WHEN start >= "end" THEN 'empty' WHEN start < 0 OR "end" > length THEN 'outside contig' END AS problem, count(*) AS n
     FROM r LEFT JOIN (SELECT * FROM contigs WHERE ordinal < 6) c USING (contig) GROUP BY 1""",
     "reads", "contigs",
 )
 _add("tiles", lambda s, d: iv.tile(b.features(s, d), 40, 10, complete=False).select("id", "contig", "start", "end"), ' SELECT id, contig, unnest(range(start, "end" - 10, 30)) AS start, unnest(range(start, "end" - 10, 30)) + 40 AS "end" FROM features', "features")
-_add("bins_equal", lambda s, d: iv.bins(b.contigs(s), 500, True), ' SELECT contig, (length % 500) // 2 + i * 500 AS start, (length % 500) // 2 + i * 500 + 500 AS "end", i AS bin FROM (SELECT *, unnest(range(length // 500)) AS i FROM contigs)', "contigs")
+_add("bins_equal", lambda s, d: iv.bins(b.contigs(s, d), 500, True), ' SELECT contig, (length % 500) // 2 + i * 500 AS start, (length % 500) // 2 + i * 500 + 500 AS "end", i AS bin FROM (SELECT *, unnest(range(length // 500)) AS i FROM contigs)', "contigs")
 _add(
     "bins_unequal",
-    lambda s, d: iv.bins(b.contigs(s), 700, False),
+    lambda s, d: iv.bins(b.contigs(s, d), 700, False),
     """, n AS (SELECT *, (length + 699) // 700 AS n FROM contigs), q AS (SELECT *, (length + n - 1) // n AS big FROM n), x AS (SELECT *, n - (n * big - length) AS nbig, unnest(range(n)) AS i FROM q)
     SELECT contig, i * big - greatest(0, i - nbig) AS start, (i + 1) * big - greatest(0, i + 1 - nbig) AS "end", i AS bin FROM x""",
     "contigs",
 )
 _add(
     "bin_counts",
-    lambda s, d: iv.bins(b.contigs(s), 500, True).join(_binned(s, d), ["contig", "bin"], "left").select("contig", "start", "end", F.coalesce("n", F.lit(0)).cast("long").alias("n")),
+    lambda s, d: iv.bins(b.contigs(s, d), 500, True).join(_binned(s, d), ["contig", "bin"], "left").select("contig", "start", "end", F.coalesce("n", F.lit(0)).cast("long").alias("n")),
     f""", g AS (SELECT contig, CASE WHEN strand = '-' THEN "end" - 1 ELSE start END AS pos FROM reads WHERE {GOOD}),
     k AS (SELECT contig, (pos - (length % 500) // 2) // 500 AS bin, count(*) AS n FROM g JOIN contigs USING (contig) WHERE pos >= (length % 500) // 2 GROUP BY 1, 2),
     x AS (SELECT contig, length, unnest(range(length // 500)) AS i FROM contigs)
@@ -185,14 +185,14 @@ _add(
 
 
 def _binned(spark, d):
-    rows = _good(spark, d).select("contig", rd.anchor("readstart").alias("pos")).join(F.broadcast(b.contigs(spark)), "contig")  # eight contigs
+    rows = _good(spark, d).select("contig", rd.anchor("readstart").alias("pos")).join(F.broadcast(b.contigs(spark, d)), "contig")  # eight contigs
     rows = rows.select("contig", iv.equal_bin(F.col("pos"), F.col("length"), 500).alias("bin")).where("bin is not null")
     return rows.groupBy("contig", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 _add(
     "bin_of_points",
-    lambda s, d: iv.bin_of_points(b.points(s, d).select("id", "contig", "pos"), iv.bins(b.contigs(s).where("ordinal < 7"), 700, False).where("bin % 4 <> 3")),
+    lambda s, d: iv.bin_of_points(b.points(s, d).select("id", "contig", "pos"), iv.bins(b.contigs(s, d).where("ordinal < 7"), 700, False).where("bin % 4 <> 3")),
     """, c AS (SELECT * FROM contigs WHERE ordinal < 7), n AS (SELECT *, (length + 699) // 700 AS n FROM c), q AS (SELECT *, (length + n - 1) // n AS big FROM n), x AS (SELECT *, n - (n * big - length) AS nbig, unnest(range(n)) AS i FROM q),
     b AS (SELECT contig, i * big - greatest(0, i - nbig) AS start, (i + 1) * big - greatest(0, i + 1 - nbig) AS "end", i AS bin FROM x WHERE i % 4 <> 3)
     SELECT p.id, p.contig, p.pos, b.bin, CASE WHEN c.contig IS NULL THEN 'nochr' WHEN b.bin IS NULL THEN 'nobin' ELSE 'found' END AS outcome
@@ -201,7 +201,7 @@ _add(
 )
 _add(
     "chromosome_arms",
-    lambda s, d: iv.chromosome_arms(b.contigs(s), b.contigs(s).select("contig", (F.col("ordinal") * 500 + 1000).cast("long").alias("start"), (F.col("ordinal") * 500 + 1600).cast("long").alias("end")), named=True),
+    lambda s, d: iv.chromosome_arms(b.contigs(s, d), b.contigs(s, d).select("contig", (F.col("ordinal") * 500 + 1000).cast("long").alias("start"), (F.col("ordinal") * 500 + 1600).cast("long").alias("end")), named=True),
     """ SELECT contig, 0::BIGINT AS start, (ordinal * 500 + 1000)::BIGINT AS "end", contig || '_ArmL' AS name FROM contigs UNION ALL SELECT contig, (ordinal * 500 + 1600)::BIGINT, length, contig || '_ArmR' FROM contigs""",
     "contigs",
 )

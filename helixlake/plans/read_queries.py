@@ -37,7 +37,7 @@ _add(
 )
 _add(
     "start_windows",
-    lambda s, d: rd.start_windows(b.reads(s, d), 50, b.contigs(s)),
+    lambda s, d: rd.start_windows(b.reads(s, d), 50, b.contigs(s, d)),
     """ SELECT contig, greatest(0, CASE WHEN flag & 16 > 0 THEN "end" ELSE start END - 25) AS start, least(length, CASE WHEN flag & 16 > 0 THEN "end" ELSE start END + 25) AS "end",
     qname || CASE WHEN flag & 64 > 0 THEN '/1' ELSE '/2' END AS name, mapq AS score, CASE WHEN flag & 16 > 0 THEN '-' ELSE '+' END AS strand FROM reads JOIN contigs USING (contig)""",
     "reads", "contigs",
@@ -169,13 +169,13 @@ BINS = """, nb AS (SELECT contig, ordinal, length, length // 500 AS n FROM conti
   full_m AS (SELECT i, j, value FROM m UNION ALL SELECT j, i, value FROM m WHERE i <> j)"""
 
 
-def _bins(s):
-    return ct.number_bins(iv.bins(b.contigs(s), 500, True), b.contigs(s))
+def _bins(s, d):
+    return ct.number_bins(iv.bins(b.contigs(s, d), 500, True), b.contigs(s, d))
 
 
 def _matrix(s, d):
     p = _pairs(s, d).select("contig1", F.col("start1").alias("pos1"), "contig2", F.col("start2").alias("pos2"))
-    return ct.contact_matrix(p, _bins(s))
+    return ct.contact_matrix(p, _bins(s, d))
 
 
 CONTACTS = PAIRED + BINS
@@ -184,21 +184,21 @@ _add("contact_matrix", lambda s, d: _matrix(s, d)[0], CONTACTS + " SELECT * FROM
 _add("contact_outcomes", lambda s, d: _matrix(s, d)[1], CONTACTS + " SELECT count(*) AS total, 0::BIGINT AS nochr, count(*) FILTER (WHERE b1 IS NULL OR b2 IS NULL) AS nobin, count(*) FILTER (WHERE b1 IS NOT NULL AND b2 IS NOT NULL) AS accepted FROM hit", *VIEWS)
 _add("bin_sums", lambda s, d: ct.bin_sums(_matrix(s, d)[0], remove_diagonal=True), CONTACTS + " SELECT i, sum(value)::BIGINT AS total FROM full_m WHERE i <> j GROUP BY 1", *VIEWS)
 _add("bin_summary", lambda s, d: ct.bin_summary(ct.bin_sums(_matrix(s, d)[0]), 4).withColumn("mean", F.round("mean", 6)), CONTACTS + ", t AS (SELECT i, sum(value)::BIGINT AS total FROM full_m GROUP BY 1) SELECT round(avg(total), 6) AS mean, median(total) AS median, count(*) FILTER (WHERE total < 4) AS below FROM t", *VIEWS)
-_add("low_bins", lambda s, d: ct.low_bins(_matrix(s, d)[0], _bins(s), 4), CONTACTS + ", t AS (SELECT i, sum(value) AS total FROM full_m GROUP BY 1) SELECT bin FROM bins LEFT JOIN t ON i = bin WHERE coalesce(total, 0) < 4", *VIEWS)
+_add("low_bins", lambda s, d: ct.low_bins(_matrix(s, d)[0], _bins(s, d), 4), CONTACTS + ", t AS (SELECT i, sum(value) AS total FROM full_m GROUP BY 1) SELECT bin FROM bins LEFT JOIN t ON i = bin WHERE coalesce(total, 0) < 4", *VIEWS)
 
 
-def _regions(s):
-    return b.contigs(s).select("contig", F.lit(0).cast("long").alias("start"), (F.col("length") - F.col("ordinal") * 700).alias("end"), F.concat(F.lit("r"), F.col("ordinal") % 4).alias("region"))
+def _regions(s, d):
+    return b.contigs(s, d).select("contig", F.lit(0).cast("long").alias("start"), (F.col("length") - F.col("ordinal") * 700).alias("end"), F.concat(F.lit("r"), F.col("ordinal") % 4).alias("region"))
 
 
 MEMBERS = CONTACTS + """, regions AS (SELECT contig, 0 AS start, length - ordinal * 700 AS "end", 'r' || ordinal % 4 AS region FROM contigs),
   mem AS (SELECT r.region, x.bin FROM regions r JOIN bins x ON x.contig = r.contig AND x.start >= r.start AND x."end" <= r."end")"""
-_add("region_bins", lambda s, d: ct.region_bins(_bins(s), _regions(s)), MEMBERS + " SELECT * FROM mem", *VIEWS)
+_add("region_bins", lambda s, d: ct.region_bins(_bins(s, d), _regions(s, d)), MEMBERS + " SELECT * FROM mem", *VIEWS)
 
 
 def _cells(s, d):
     m = _matrix(s, d)[0]
-    return ct.submatrix(m, ct.region_bins(_bins(s), _regions(s)), ct.low_bins(m, _bins(s), 2), remove_diagonal=True)
+    return ct.submatrix(m, ct.region_bins(_bins(s, d), _regions(s, d)), ct.low_bins(m, _bins(s, d), 2), remove_diagonal=True)
 
 
 SUB = MEMBERS + """, t AS (SELECT i, sum(value) AS total FROM full_m GROUP BY 1), low AS (SELECT bin FROM bins LEFT JOIN t ON i = bin WHERE coalesce(total, 0) < 2),
@@ -216,19 +216,19 @@ def _shares(s, d):
 SHARES = CONTACTS + ", sh AS (SELECT i, j, value / (sum(value) OVER (PARTITION BY i)) AS value FROM full_m), di AS (SELECT sh.*, (y.start + y.\"end\") / 2 - (x.start + x.\"end\") / 2 AS dist FROM sh JOIN bins x ON x.bin = i JOIN bins y ON y.bin = j WHERE x.contig = y.contig)"
 _add(
     "distance_table",
-    lambda s, d: ct.with_distances(_shares(s, d), _bins(s)).select("i", "j", "dist", F.round("value", 6).alias("value")),
+    lambda s, d: ct.with_distances(_shares(s, d), _bins(s, d)).select("i", "j", "dist", F.round("value", 6).alias("value")),
     SHARES + " SELECT i, j, dist::DOUBLE AS dist, round(value, 6) AS value FROM di",
     *VIEWS,
 )
 _add(
     "mean_by_distance",
-    lambda s, d: ct.mean_by_distance(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s)), []).withColumn("mean", F.round("mean", 6)),
+    lambda s, d: ct.mean_by_distance(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s, d)), []).withColumn("mean", F.round("mean", 6)),
     CONTACTS + ", di AS (SELECT fm.*, (y.start + y.\"end\") / 2 - (x.start + x.\"end\") / 2 AS dist FROM full_m fm JOIN bins x ON x.bin = i JOIN bins y ON y.bin = j WHERE x.contig = y.contig) SELECT abs(dist)::DOUBLE AS dist, count(*) AS n, round(avg(value), 6) AS mean FROM di WHERE value <> 0 GROUP BY 1",
     *VIEWS,
 )
 _add(
     "distance_quantile",
-    lambda s, d: ct.distance_quantile(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s)), [2.0, 5.0]),
+    lambda s, d: ct.distance_quantile(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s, d)), [2.0, 5.0]),
     CONTACTS + """, di AS (SELECT fm.*, (y.start + y."end") / 2 - (x.start + x."end") / 2 AS dist FROM full_m fm JOIN bins x ON x.bin = i JOIN bins y ON y.bin = j WHERE x.contig = y.contig),
     r AS (SELECT *, sum(value) OVER (PARTITION BY i ORDER BY abs(dist), dist, j ROWS UNBOUNDED PRECEDING) AS s FROM di), q AS (SELECT unnest([2.0, 5.0])::DOUBLE AS quantile)
     SELECT i, quantile, (arg_min(dist, s * 100000 + abs(dist)) FILTER (WHERE s >= quantile))::DOUBLE AS dist FROM r, q GROUP BY 1, 2""",
@@ -236,13 +236,13 @@ _add(
 )
 _add(
     "mean_distance",
-    lambda s, d: ct.mean_distance(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s))),
+    lambda s, d: ct.mean_distance(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s, d))),
     CONTACTS + ", di AS (SELECT fm.*, (y.start + y.\"end\") / 2 - (x.start + x.\"end\") / 2 AS dist FROM full_m fm JOIN bins x ON x.bin = i JOIN bins y ON y.bin = j WHERE x.contig = y.contig) SELECT i, floor(sum(abs(dist) * value) / sum(value))::BIGINT AS dist FROM di GROUP BY 1",
     *VIEWS,
 )
 _add(
     "mean_log2_ratio",
-    lambda s, d: ct.mean_log2_ratio(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s)), [], 100, 1).withColumn("mean_log2", F.round("mean_log2", 6)),
+    lambda s, d: ct.mean_log2_ratio(ct.with_distances(ct.mirrored(_matrix(s, d)[0]), _bins(s, d)), [], 100, 1).withColumn("mean_log2", F.round("mean_log2", 6)),
     CONTACTS + """, di AS (SELECT fm.* FROM full_m fm JOIN bins x ON x.bin = i JOIN bins y ON y.bin = j WHERE x.contig = y.contig),
     p AS (SELECT u.i, u.value AS uv, dn.value AS dv FROM di u JOIN di dn ON u.i = dn.i AND u.i - u.j = dn.j - dn.i WHERE u.j < u.i AND u.i - u.j <= 100)
     SELECT i, count(*) AS n, round(avg(log2(uv / dv)), 6) AS mean_log2 FROM p GROUP BY 1""",
@@ -250,7 +250,7 @@ _add(
 )
 _add(
     "directionality",
-    lambda s, d: ct.directionality(_shares(s, d), _bins(s)).select("bin", *[F.round(c, 6).alias(c) for c in ("self", "inter", "up", "down")], F.round("log2", 6).alias("log2")),
+    lambda s, d: ct.directionality(_shares(s, d), _bins(s, d)).select("bin", *[F.round(c, 6).alias(c) for c in ("self", "inter", "up", "down")], F.round("log2", 6).alias("log2")),
     SHARES + """, good AS (SELECT bin, contig FROM bins WHERE bin IN (SELECT i FROM full_m)), seen AS (SELECT sh.* FROM sh JOIN good x ON x.bin = i JOIN good y ON y.bin = j WHERE x.contig = y.contig),
     part AS (SELECT i AS bin, coalesce(sum(value) FILTER (WHERE i = j), 0) AS self, coalesce(sum(value) FILTER (WHERE j < i), 0) AS up, coalesce(sum(value) FILTER (WHERE j > i), 0) AS down FROM seen GROUP BY 1),
     near AS (SELECT g.bin, k, coalesce(u.value, 0) AS uv, coalesce(w.value, 0) AS dv FROM good g, range(1, 11) t(k) JOIN good gu ON gu.bin = g.bin - k AND gu.contig = g.contig JOIN good gd ON gd.bin = g.bin + k AND gd.contig = g.contig
@@ -264,7 +264,7 @@ _add(
 )
 def _supported(s, d):
     """Contacts of each region's bins, one more in every cell, so that the matrix can be balanced."""
-    members = ct.region_bins(_bins(s), _regions(s))
+    members = ct.region_bins(_bins(s, d), _regions(s, d))
     cells = members.select("region", F.col("bin").alias("i")).join(members.select("region", F.col("bin").alias("j")), "region").where("i <= j")  # a region's matrix
     return cells.join(_matrix(s, d)[0], ["i", "j"], "left").select("region", "i", "j", (F.coalesce("value", F.lit(0)) + 1).alias("value"))
 

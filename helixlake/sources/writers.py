@@ -1,4 +1,4 @@
-"""Sinks: FASTQ, FASTA, BED, bedGraph, matrices and tables by key."""
+"""Sinks: FASTQ, FASTA, SAM, BED, GTF, bedGraph, gene sets, matrices and tables by key."""
 
 from __future__ import annotations
 
@@ -33,6 +33,39 @@ def as_fastq(regions: DataFrame, quality: int = 30) -> DataFrame:
     return regions.select(S.bin_name("contig", "start", "end").alias("name"), "seq", F.repeat(F.lit(chr(quality + 33)), F.length("seq")).alias("qual"))
 
 
+def write_sam(reads: DataFrame, path: str) -> None:
+    """Reads (``schema.READS``) as SAM lines without a header, positions from 1, in part files that are read side by side."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("*"))
+    place = lambda c: F.coalesce(F.col(c) + 1, F.lit(0)).cast("string")
+    cigar = F.array_join(F.transform("cigar", lambda x: F.concat(x["len"].cast("string"), F.substring(F.lit("MIDNSHP=X"), x["op"] + 1, F.lit(1)))), "")
+    columns = [
+        F.col("qname"), F.col("flag").cast("string"), text("contig"), place("start"), F.col("mapq").cast("string"), F.when(F.length(cigar) > 0, cigar).otherwise("*"),
+        text("mate_contig"), place("mate_start"), F.lit("0"), text("seq"), F.coalesce(quality_text(F.col("qual")), F.lit("*")),
+    ]
+    reads.select(F.concat_ws("\t", *columns).alias("value")).write.text(path)
+
+
+def write_gtf(rows: DataFrame, path: str) -> None:
+    """Rows of ``schema.GTF`` as GTF lines, positions from 1, closed."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("."))
+    pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit(' "'), e["value"], F.lit('";')))
+    columns = [F.col("contig"), F.col("source"), F.col("feature"), (F.col("start") + 1).cast("string"), F.col("end").cast("string"), text("score"), text("strand"), text("frame"), F.array_join(pairs, " ")]
+    rows.select(F.concat_ws("\t", *columns).alias("value")).write.text(path)
+
+
+def write_gmt(members: DataFrame, path: str) -> None:
+    """(term, gene) as one line for each term, with its name as the description."""
+    rows = members.groupBy("term").agg(F.array_sort(F.collect_set(F.col("gene").cast("string"))).alias("genes"))
+    rows.select(F.concat_ws("\t", "term", "term", F.array_join("genes", "\t")).alias("value")).write.text(path)
+
+
+def write_matrix(cells: DataFrame, bins: DataFrame, path: str, most: int = 5000, digits: int | None = None) -> None:
+    """A dense matrix of at most ``most`` bins as one file: names, then rows in order; see ``dense_rows``."""
+    rows = dense_rows(cells, bins, most, digits)
+    names = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin", "name"))), lambda x: x["name"]), "\t").alias("row")).select(F.lit(-1).cast("long").alias("bin"), "row")
+    names.unionByName(rows.select("bin", "row")).coalesce(1).sortWithinPartitions("bin").select(F.col("row").alias("value")).write.text(path)
+
+
 def write_tsv(rows: DataFrame, path: str, header: bool = False, gz: bool = False) -> None:
     rows.write.csv(path, sep="\t", header=header, compression="gzip" if gz else "none", emptyValue="", nullValue="NA")
 

@@ -64,3 +64,9 @@ def test_kendall(spark):
     want = sum(x * y for x, y in pairs) / (sum(x * x for x, _ in pairs) * sum(y * y for _, y in pairs)) ** 0.5
     df = spark.createDataFrame(rows, "x int, y int")
     assert abs(stats.correlations(df, [("x", "y")], "kendall").first()["r"] - want) < 1e-9
+
+
+def test_kendall_of_many_distinct_values(spark):
+    rows = spark.range(1_200_000).select(F.col("id").alias("x"), F.col("id").alias("y"))
+    assert abs(stats.kendall_tau(rows, "x", "y").first()["r"] - 1) < 1e-12
+    assert abs(stats.kendall_tau(rows.selectExpr("x", "-y as y"), "x", "y").first()["r"] + 1) < 1e-12
