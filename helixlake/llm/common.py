@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -80,7 +82,12 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let shuffle files go: they do once the driver's heap is cleared of the plans that made them."""
+    """Let shuffle files go: they do once the driver's heap is cleared of the plans that made them.
+
+    Listeners hold a plan until they have heard of its end, hence the pause.
+    """
+    gc.collect()
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
 
 
