@@ -5,15 +5,20 @@ that of the word within its class.  Exchange clustering finds the classes:
 words move, one after another, to the class that raises the likelihood of the
 class bigrams most, until few move.
 
-What is clustered are units: the most frequent words, each its own unit, and
-groups of all other words by their endings, so that every word, seen or not, has
-a class.  Their number bounds the model; all training text is counted.
+What is clustered first are units: the most frequent words, each its own unit,
+and groups of all other words by their endings, so that every word, seen or not,
+has a class.  Then the other words whose counts are held, seen ``LEAST_TOKENS``
+times or more, leave their endings: each moves, as in a round of exchange, to the
+class that suits the classes around it best.  All training text is counted.
 
 * Word counts come from one pass and one shuffle of each task's distinct words.
 * Bigrams of units come from a second pass; tasks send sorted arrays of pair
   codes, which are merged by ranges of units and stay on the cluster.  A round of
   exchange is one scan of them, and only sums by unit and class reach the driver.
-* Scoring is a third pass.  Counts of frequent words are broadcast, as many as
+* Contexts of the other words come from a third pass, as sorted arrays of word and
+  class around it, merged by ranges of words; words move on the cluster, and a
+  class a word reaches the driver.  A fourth pass counts the bigrams of classes.
+* Scoring is the last pass.  Counts of frequent words are broadcast, as many as
   ``most_words``; occurrences of the others meet their counts in a join.
 """
 
@@ -38,8 +43,9 @@ CLASSES = 64
 #: Units in a slice of the bigram table (a power of two), and tasks of the counting pass whose results of a slice are merged at once.
 SLICE_BITS = 6
 MERGED = 64
-#: Words whose counts are broadcast, 13 bytes each.
+#: Words whose counts and classes are broadcast, 22 bytes each, and the occurrences that a word needs for a class of its own.
 MOST_WORDS = 1_000_000
+LEAST_TOKENS = 4
 #: Rounds of exchange at most, and the share of units that must move for another.
 ROUNDS, STILL = 8, 0.01
 #: Share of the class model in the mixture with the unigram.
@@ -106,24 +112,40 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Lookup:
-    """Frequent words in order, with their counts, and their units or -1."""
+    """Frequent words in order, with their counts, endings, and their units or -1."""
 
     words: np.ndarray
     counts: np.ndarray
+    endings: np.ndarray
     units: np.ndarray
 
-    def find(self, word: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Units of tokens, and their counts, -1 for words that aren't held."""
+    def find(self, word: np.ndarray, ending: np.ndarray, classes: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units of tokens, their counts and their places among the held words, -1 for words that aren't held.
+
+        With ``classes`` of units, classes instead of units; ``own`` has those of held words that left their endings, or -1.
+        """
         value, at, place = np.unique(word, return_index=True, return_inverse=True)
         unit = 1 + ending[at].astype(np.int64)
         count = np.full(len(value), -1, np.int64)
+        index = np.full(len(value), -1, np.int64)
         if len(self.words):
             k = np.minimum(np.searchsorted(self.words, value), len(self.words) - 1)
             hit = self.words[k] == value
             count[hit] = self.counts[k[hit]]
-            own = hit & (self.units[k] >= 0)
-            unit[own] = self.units[k[own]]
-        return unit[place], count[place]
+            index[hit] = k[hit]
+            known = hit & (self.units[k] >= 0)
+            unit[known] = self.units[k[known]]
+        if classes is not None:
+            unit = classes[unit].astype(np.int64)
+            if own is not None and len(own):
+                left = np.where(index >= 0, own[index], -1)
+                unit = np.where(left >= 0, left, unit)
+        return unit[place], count[place], index[place]
+
+    @property
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """What ``Lookup(*arrays)`` makes again in any worker."""
+        return self.words, self.counts, self.endings, self.units
 
 
 def lookup(counts: DataFrame, most_words: int) -> tuple[Lookup, int]:
@@ -139,17 +161,16 @@ def lookup(counts: DataFrame, most_words: int) -> tuple[Lookup, int]:
         least, total = n, total + k
     if least is None:
         least = by_count[0][0] + 1 if by_count else 1
-    rows = counts.where((F.col("n") >= least) | (F.col("word") == END)).select("word", "n").toArrow()
-    word, n = rows["word"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(word)
-    word, n = word[order], n[order]
+    rows = counts.where((F.col("n") >= least) | (F.col("word") == END)).select("word", "ending", "n").toArrow()
+    order = np.argsort(rows["word"].to_numpy())
+    word, ending, n = (rows[x].to_numpy()[order] for x in ("word", "ending", "n"))
     units = np.full(len(word), -1, np.int32)
     room = (1 << UNIT_BITS) - 1 - ENDINGS
     top = np.lexsort((word, -n))
     top = top[word[top] != END][:room]
     units[top] = 1 + ENDINGS + np.arange(len(top))
     units[word == END] = END_UNIT
-    return Lookup(word, n, units), int(least)
+    return Lookup(word, n, ending, units), int(least)
 
 
 def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame:
@@ -159,7 +180,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
     one before (side 1); texts begin after an end token.  The arrays are sorted
     uint32 codes and uint64 counts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((held.words, held.counts, held.units))  # arrays, which any worker can unpickle
+    shared = docs.sparkSession.sparkContext.broadcast(held.arrays)  # arrays, which any worker can unpickle
     rows = docs.select(text)
     salts = -(-rows.rdd.getNumPartitions() // MERGED)
     shape = "slice int, side byte, codes binary, counts binary, salt int"
@@ -194,7 +215,7 @@ def unit_bigrams(docs: DataFrame, held: Lookup, text: str = "text") -> DataFrame
 
         for batch in sliced(batches):
             for _, n, word, ending, row in tokens(batch.column(0)):
-                unit, _ = known.find(word, ending)
+                unit, _, _ = known.find(word, ending)
                 before, after = neighbours(unit, row, n)
                 pairs.append(np.unique(before << UNIT_BITS | after, return_counts=True))
                 size += len(pairs[-1][0])
@@ -343,13 +364,158 @@ def cluster(bigrams: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS)
     return classes, matrix
 
 
+def best_classes(matrix: np.ndarray, word: np.ndarray, side: np.ndarray, near: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """The likeliest class for each of the words 0, 1, ... whose present classes are ``now``.
+
+    ``word`` is sorted; it was seen ``n`` times after (side 0) or before (side 1) a
+    token of class ``near``.  Words move at once, so each one's gain is that of the
+    likelihood to first order, at the matrix without its own counts, smoothed by a
+    half: a small class, which any one word could have for itself, draws no crowd.
+    """
+    n_classes = len(matrix)
+    gain = np.zeros((len(now), n_classes))
+    n = n.astype(float)
+    step = 50_000
+    for k, cells in enumerate((matrix, matrix.T)):  # by the class near it, then by the word's
+        which = np.flatnonzero(side == k)
+        sums, logs = cells.sum(axis=0), np.log(cells + 0.5)
+        for at in range(0, len(which), step):
+            e = which[at : at + step]
+            added = logs[near[e]]
+            row, here = np.arange(len(e)), now[word[e]]
+            added[row, here] = np.log(np.maximum(cells[near[e], here] - n[e], 0) + 0.5)
+            first = np.flatnonzero(np.diff(word[e], prepend=-1))
+            gain[word[e][first]] += np.add.reduceat(added * n[e, None], first, axis=0)
+        total = np.bincount(word[which], n[which], minlength=len(now))
+        lost = total[:, None] * np.log(sums + 0.5 * n_classes)
+        row = np.arange(len(now))
+        lost[row, now] = total * np.log(np.maximum(sums[now] - total, 0) + 0.5 * n_classes)
+        gain -= lost
+    gain[:, END_CLASS] = -np.inf
+    best = gain.argmax(axis=1)
+    return np.where(gain[row, best] > gain[row, now] + 1e-9, best, now)
+
+
+def word_classes(docs: DataFrame, held: Lookup, classes: np.ndarray, matrix: np.ndarray, text: str = "text") -> np.ndarray:
+    """For each held word the class that it moves to from its ending's, -1 for units and for words seen fewer than ``LEAST_TOKENS`` times.
+
+    Tasks send sorted arrays of (word, side, class near it) and counts by ranges of
+    words; a range's distinct ones are bounded by its words and the classes.
+    """
+    n_classes = len(matrix)
+    spark = docs.sparkSession
+    free = (held.units < 0) & (held.counts >= LEAST_TOKENS)
+    own = np.full(len(held.words), -1, np.int16)
+    if not free.any():
+        return own
+    shared = spark.sparkContext.broadcast((held.arrays, classes, free, matrix))
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per = -(-len(held.words) // slices)
+    shape, names = "slice int, codes binary, counts binary", ["slice", "codes", "counts"]
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        value, place = np.unique(code, return_inverse=True)
+        return value, np.bincount(place, n, minlength=len(value)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, unit_class, may, _ = shared.value
+        known = Lookup(*arrays)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            code, n = merged(parts)
+            part = code // (per * 2 * n_classes)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(at[1:], len(code))
+            columns = [pa.array(part[at].astype(np.int32)), *(pa.array([x[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()) for x in (code, n.astype(np.uint32)))]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in sliced(batches):
+            for _, n, word, ending, row in tokens(batch.column(0)):
+                kind, _, index = known.find(word, ending, unit_class)
+                before, after = neighbours(kind, row, n)
+                place = np.concatenate([index, np.full(n, -1)])  # of the pair's second
+                previous = np.full(len(place), -1)  # of its first
+                previous[1 : len(index)] = index[:-1]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                previous[first] = -1
+                last = np.flatnonzero(np.diff(row, append=n))
+                previous[len(index) + row[last]] = index[last]
+                for side, who, near in ((0, place, before), (1, previous, after)):
+                    at = np.flatnonzero(who >= 0)
+                    at = at[may[who[at]]]
+                    parts.append(np.unique((who[at] * 2 + side) * n_classes + near[at], return_counts=True))
+                    size += len(parts[-1][0])
+                if size > 4_000_000:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > 2_000_000:
+                        yield sent()
+                        parts, size = [], 0
+        if size:
+            yield sent()
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, unit_class, _, cells = shared.value
+        now, parts, size = None, [], 0
+
+        def moved() -> pa.RecordBatch:
+            code, n = merged(parts)
+            index, word = np.unique(code // (2 * n_classes), return_inverse=True)
+            at = unit_class[1 + arrays[2][index].astype(np.int64)].astype(np.int64)
+            got = best_classes(cells, word, code // n_classes % 2, code % n_classes, n, at)
+            return pa.RecordBatch.from_arrays([pa.array(index.astype(np.int64)), pa.array(got.astype(np.int16))], names=["index", "class"])
+
+        for batch in sliced(batches, 64):
+            for part, code, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if part.as_py() != now:
+                    if parts:
+                        yield moved()
+                    now, parts, size = part.as_py(), [], 0
+                parts.append((np.frombuffer(code.as_py(), np.int64), np.frombuffer(n.as_py(), np.uint32).astype(np.int64)))
+                size += len(parts[-1][0])
+                if size > 4_000_000:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+        if parts:
+            yield moved()
+
+    found = docs.select(text).mapInArrow(run, shape).repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(move, "index long, class short").toArrow()
+    own[found["index"].to_numpy()] = found["class"].to_numpy()
+    return own
+
+
+def class_bigrams(docs: DataFrame, held: Lookup, classes: np.ndarray, own: np.ndarray, n_classes: int, text: str = "text") -> np.ndarray:
+    """The matrix of class bigram counts of all texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((held.arrays, classes, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays, unit_class, word_class = shared.value
+        known = Lookup(*arrays)
+        sums = np.zeros(n_classes * n_classes, np.int64)
+        for batch in sliced(batches):
+            for _, n, word, ending, row in tokens(batch.column(0)):
+                before, after = neighbours(known.find(word, ending, unit_class, word_class)[0], row, n)
+                sums += np.bincount(before * n_classes + after, minlength=len(sums))
+        pair = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int32)), pa.array(sums[pair])], names=["pair", "n"])
+
+    found = docs.select(text).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(n_classes * n_classes)
+    matrix[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return matrix.reshape(n_classes, n_classes)
+
+
 @dataclass
 class Model:
-    """What scoring needs; ``joint`` is log10 of all of a token's probability but its count and a half."""
+    """What scoring needs: ``own`` has the classes of held words that left their endings; ``joint`` is log10 of all of a token's probability but its count and a half."""
 
     held: Lookup
     least: int
     classes: np.ndarray
+    own: np.ndarray
     joint: np.ndarray
     train_tokens: int
     distinct: int
@@ -365,47 +531,52 @@ def learn(docs: DataFrame, train: Column, text: str = "text", most_words: int =
     counts = stored(word_counts(chosen, text), "word_counts")
     held, least = lookup(counts, most_words)
     classes, matrix = cluster(stored(unit_bigrams(chosen, held, text), "bigrams"))
-    spark = docs.sparkSession
     n_classes = len(matrix)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # words of a class: those with their own unit from the lookup, all others by their ending
-    own = held.units >= 0
-    words = np.bincount(classes[held.units[own]], minlength=n_classes).astype(float)
-    mass = np.bincount(classes[held.units[own]], held.counts[own], minlength=n_classes)
+    own = word_classes(chosen, held, classes, matrix, text)
+    if (own >= 0).any():
+        moved = class_bigrams(chosen, held, classes, own, n_classes, text)
+        if likelihood(moved) > likelihood(matrix):
+            matrix = moved
+        else:  # words moved at once, each as if alone
+            own[:] = -1
+    # words of a class: those that have one to themselves from the lookup, all others by their ending
+    single = (held.units >= 0) | (own >= 0)
+    kind = np.where(own >= 0, own, classes[held.units])[single]
+    words = np.bincount(kind, minlength=n_classes).astype(float)
+    mass = np.bincount(kind, held.counts[single], minlength=n_classes)
     endings = np.zeros((2, ENDINGS))
     for r in counts.where("ending >= 0").groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).toLocalIterator():
         endings[:, r["ending"]] = r["v"], r["n"]
-    units = held.words[own & (held.units != END_UNIT)]
-    if len(units):
-        frame = spark.createDataFrame(pa.table({"word": units}))
-        for r in counts.join(F.broadcast(frame), "word").groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).toLocalIterator():
-            endings[:, r["ending"]] -= r["v"], r["n"]
+    gone = single & (held.endings >= 0)
+    np.subtract.at(endings[0], held.endings[gone], 1)
+    np.subtract.at(endings[1], held.endings[gone], held.counts[gone])
     np.add.at(words, classes[1 : 1 + ENDINGS], endings[0])
     np.add.at(mass, classes[1 : 1 + ENDINGS], endings[1])
     follow = (matrix + 0.5) / (matrix.sum(axis=1, keepdims=True) + 0.5 * n_classes)
     joint = np.log10((1 - CLASS_SHARE) / (total[0] + 0.5 * (total[1] + 1)) + CLASS_SHARE * follow / (mass + 0.5 * (words + 1)))
-    return Model(held, least, classes, joint, int(total[0]), int(total[1])), counts
+    return Model(held, least, classes, own, joint, int(total[0]), int(total[1])), counts
 
 
 def score_texts(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), one row for each row; a null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.held.words, model.held.counts, model.held.units, model.classes, model.joint))
+    shared = docs.sparkSession.sparkContext.broadcast((model.held.arrays, model.classes, model.own, model.joint))
     rows = docs.select(F.col(doc_id).alias("doc_id"), text)
     whole = model.least <= 1  # every word of the training texts is held
     base = float(np.log10(model.train_tokens + 0.5 * (model.distinct + 1)))
     names = ["doc_id", "rid", "n_tokens", "known", "counted", "chained", "rest", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *parts, classes, joint = shared.value
-        held = Lookup(*parts)
+        arrays, classes, own, joint = shared.value
+        held = Lookup(*arrays)
         end = np.flatnonzero(held.words == END)
         end_count = int(held.counts[end[0]]) if len(end) else 0
         rid = TaskContext.get().partitionId() << 33
         for batch in sliced(batches):
             for first, n, word, ending, row in tokens(batch.column(1)):
-                unit, count = held.find(word, ending)
-                before, after = neighbours(unit, row, n)
-                pair = joint[classes[before], classes[after]]
+                kind, count, _ = held.find(word, ending, classes, own)
+                before, after = neighbours(kind, row, n)
+                pair = joint[before, after]
                 chained = np.bincount(np.concatenate([row, np.arange(n)]), pair, minlength=n)
                 if whole:
                     count = np.maximum(count, 0)

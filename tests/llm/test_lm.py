@@ -54,12 +54,12 @@ def test_scores_equal_a_plain_count(spark, docs, most_words):
 def test_probabilities_sum_to_one(docs):
     model, counts = lm.learn(docs, lm.F.lit(True))
     rows = [r for r in counts.collect()]
-    unit, _ = model.held.find(np.array([r["word"] for r in rows]), np.array([max(0, r["ending"]) for r in rows], np.int16))
-    unit = np.where(np.array([r["word"] for r in rows]) == lm.END, lm.END_UNIT, unit)
+    kind, _, _ = model.held.find(np.array([r["word"] for r in rows]), np.array([max(0, r["ending"]) for r in rows], np.int16), model.classes, model.own)
+    assert (kind[np.array([r["word"] for r in rows]) == lm.END] == lm.END_CLASS).all()
     n = np.array([r["n"] for r in rows])
     for a in (0, 1, 5, 17):
         # the known words, and one unknown word for each class and for the unigram
-        known = (10 ** model.joint[a, model.classes[unit]] * (n + 0.5)).sum()
+        known = (10 ** model.joint[a, kind] * (n + 0.5)).sum()
         unknown = (10 ** model.joint[a] * 0.5).sum() - (lm.CLASSES - 1) * 0.5 * (1 - lm.CLASS_SHARE) / (model.train_tokens + 0.5 * (model.distinct + 1))
         assert abs(known + unknown - 1) < 1e-9
 
@@ -118,6 +118,82 @@ def test_bigrams_by_brute_force(docs, parts):
     assert got[0] == want and got[1] == want
 
 
+def all_free(docs):
+    """The held words of a model in which no word has a unit, the words by name, and classes of units."""
+    import pyarrow as pa
+
+    held, _ = lm.lookup(lm.word_counts(docs), 10**6)
+    held.units[held.words != lm.END] = -1
+    classes = np.random.default_rng(3).integers(1, lm.CLASSES, 1 << lm.UNIT_BITS)
+    classes[lm.END_UNIT] = lm.END_CLASS
+    place, kind = {}, {}
+    for w in {w for t in corpus() for w in words(t)}:
+        for _, _, h, e, _ in lm.tokens(pa.array([w])):
+            place[w], kind[w] = int(np.searchsorted(held.words, h[0])), int(classes[1 + e[0]])
+    return held, classes, place, kind
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_words_move_to_the_best_class_by_brute_force(docs, parts):
+    held, classes, place, kind = all_free(docs)
+    own = np.full(len(held.words), -1, np.int16)
+    matrix = lm.class_bigrams(docs.repartition(parts), held, classes, own, lm.CLASSES)
+    lines = [["", *words(t), ""] for t in corpus()]
+    kind[""] = lm.END_CLASS
+    want = np.zeros_like(matrix)
+    for line in lines:
+        for a, b in zip(line, line[1:], strict=False):
+            want[kind[a], kind[b]] += 1
+    assert (matrix == want).all()
+    own = lm.word_classes(docs.repartition(parts), held, classes, matrix)
+    n = Counter(w for line in lines for w in line)
+    moved = 0
+    for w in place:
+        if n[w] < lm.LEAST_TOKENS:
+            assert own[place[w]] == -1
+            continue
+        after, before = Counter(), Counter()
+        for line in lines:
+            for a, b in zip(line, line[1:], strict=False):
+                if b == w:
+                    after[kind[a]] += 1
+                if a == w:
+                    before[kind[b]] += 1
+        k = kind[w]
+        gain = {}
+        for j in range(1, lm.CLASSES):
+            less = j == k  # without the word's own counts
+            gain[j] = sum(c * math.log(matrix[a, j] - c * less + 0.5) for a, c in after.items()) + sum(c * math.log(matrix[j, b] - c * less + 0.5) for b, c in before.items())
+            gain[j] -= sum(n[w] * math.log(x - n[w] * less + 0.5 * lm.CLASSES) for x in (matrix[:, j].sum(), matrix[j].sum()))
+        assert gain[int(own[place[w]])] >= max(gain.values()) - 1e-6
+        moved += own[place[w]] != k
+    assert moved > 100
+    later = lm.class_bigrams(docs, held, classes, own, lm.CLASSES)
+    assert later.sum() == matrix.sum() and (later != matrix).any()
+    held.counts[:] = 1
+    assert (lm.word_classes(docs, held, classes, matrix) == -1).all()
+
+
+def test_scores_follow_words_that_left_their_endings(docs, monkeypatch):
+    monkeypatch.setattr(lm, "cluster", lambda bigrams, take=lm.cluster: take(bigrams, rounds=1))
+    lookup = lm.lookup
+
+    def few(counts, most):
+        held, least = lookup(counts, most)
+        held.units[(held.units >= 0) & (held.counts < 40) & (held.words != lm.END)] = -1
+        return held, least
+
+    monkeypatch.setattr(lm, "lookup", few)
+    model, counts = lm.learn(docs, lm.F.lit(True))
+    assert (model.own >= 0).sum() > 100
+    joint = 10 ** model.joint
+    kind, n, _ = model.held.find(model.held.words, np.maximum(model.held.endings, 0), model.classes, model.own)
+    for a in (0, 3, 20):
+        unknown = (joint[a] * 0.5).sum() - (lm.CLASSES - 1) * 0.5 * (1 - lm.CLASS_SHARE) / (model.train_tokens + 0.5 * (model.distinct + 1))
+        assert abs((joint[a, kind] * (n + 0.5)).sum() + unknown - 1) < 1e-9
+    assert lm.score_texts(docs, model, counts).where("score > base_score").count() > 250
+
+
 def test_empty_table(docs):
     model, counts = lm.learn(docs.limit(0), lm.F.lit(True))
     assert lm.score_texts(docs.limit(0), model, counts).count() == 0
