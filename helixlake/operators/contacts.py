@@ -6,8 +6,11 @@ step needs rows.  Bins are 0-based and half-open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,8 +150,8 @@ def balance(matrix: DataFrame, by: list[str], rounds: int = 10_000, deviation: f
     The bias of a bin starts at 1 and is multiplied by the square root of its
     column's sum until no sum is off by more than ``deviation``; without that
     after ``rounds`` rounds the group fails.  A group is balanced in one task on
-    its cells, which is bounded by the region's bins; see ``balance_large`` for
-    more.  Values are rounded to ``digits``.
+    its cells; see ``balance_filled`` for full matrices and ``balance_large`` for
+    more cells.  Values are rounded to ``digits``.
     """
     kinds = {f.name: f.dataType.simpleString() for f in matrix.schema}
     shape = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", i long, j long, value double, bias_i double, bias_j double"
@@ -172,6 +175,64 @@ def balance(matrix: DataFrame, by: list[str], rounds: int = 10_000, deviation: f
     return matrix.groupBy(*by).applyInPandas(run, shape)
 
 
+def balance_filled(matrix: DataFrame, members: DataFrame, by: list[str], fill: float = 1.0, rounds: int = 10_000, deviation: float = 1e-12, digits: int = 9, block: int = 512) -> DataFrame:
+    """``balance`` of full matrices: ``fill`` more in every cell of each group's bins, those without contacts too.
+
+    ``matrix`` has (by, i, j, value) with i <= j, ``members`` (by, bin).  A bin's
+    column sum is ``fill`` times the sum of all inverse biases and its own few
+    cells, so a task finds the biases from a group's contacts and bins, not from
+    its bins squared.  The full matrix is made last, in tiles of ``block`` bins;
+    bins with their biases are broadcast, and no full matrix is shuffled.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    groups = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    number = lambda name: F.col(name).cast("long")
+    cells = matrix.select(*by, number("i").alias("i"), number("j").alias("j"), F.col("value").cast("double").alias("value"))
+    cells = cells.unionByName(members.select(*by, number("bin").alias("i"), number("bin").alias("j"), F.lit(0.0).alias("value")))
+
+    def biases(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["i", "j", "value"])  # sums in one order, so that both readers get the same
+        names, place = np.unique(np.concatenate([df["i"], df["j"]]), return_inverse=True)
+        a, b = place[: len(df)], place[len(df) :]
+        v, off, bias = df["value"].to_numpy(float), a != b, np.ones(len(names))
+        for _ in range(rounds):
+            scaled = v / (bias[a] * bias[b])
+            sums = fill / bias * (1 / bias).sum() + np.bincount(a, scaled, len(names)) + np.bincount(b[off], scaled[off], len(names))
+            some = sums != 0
+            if not some.any() or np.abs(sums[some] - 1).max() <= deviation:
+                break
+            bias *= np.where(some, np.sqrt(np.where(some, sums, 1)), 1)
+        else:
+            raise ValueError("the matrix did not converge")
+        rows = []
+        for k in range(0, len(names), block):
+            own = slice(*np.searchsorted(a, [k, k + block]))
+            rows.append((*(df[x].iloc[0] for x in by), k, names[k : k + block], bias[k : k + block], a[own], b[own], v[own]))
+        return pd.DataFrame(rows, columns=[*by, "place", "bins", "bias", "a", "b", "v"])
+
+    told = cells.groupBy(*by).applyInPandas(biases, f"{groups}, place long, bins array<long>, bias array<double>, a array<long>, b array<long>, v array<double>").persist()  # read twice below
+    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = told.select(*[F.col(x).alias(f"_{x}") for x in (*by, "place", "bins", "bias")])
+    same = [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in by]
+    tiles = told.repartition(parts, *by, "place").join(F.broadcast(other), [*same, F.col("place") <= F.col("_place")]).drop(*[f"_{x}" for x in by])
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tile = batch.slice(k, 1)
+                i, bias_i, a, b, v, j, bias_j = (tile.column(x).flatten().to_numpy() for x in ("bins", "bias", "a", "b", "v", "_bins", "_bias"))
+                a, b = a - tile.column("place")[0].as_py(), b - tile.column("_place")[0].as_py()
+                here = (b >= 0) & (b < len(j))
+                value = np.full((len(i), len(j)), float(fill))
+                np.add.at(value, (a[here], b[here]), v[here])
+                x, y = np.nonzero(i[:, None] <= j)
+                value = np.round(value[x, y] / (bias_i[x] * bias_j[y]), digits)
+                first = pa.array(np.zeros(len(x), np.int32))
+                yield pa.RecordBatch.from_arrays([*(tile.column(c).take(first) for c in by), *(pa.array(c) for c in (i[x], j[y], value, bias_i[x], bias_j[y]))], names=[*by, "i", "j", "value", "bias_i", "bias_j"])
+
+    return tiles.mapInArrow(full, f"{groups}, i long, j long, value double, bias_i double, bias_j double")
+
+
 def balance_large(matrix: DataFrame, store, rounds: int = 1000, deviation: float = 1e-6) -> DataFrame:
     """ICE of one matrix that no task could hold, by joins: (i, j, value, bias_i, bias_j).
 

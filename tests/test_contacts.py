@@ -79,6 +79,30 @@ def test_balance(spark, tmp_path):
     assert np.allclose(large, got, atol=1e-3)
 
 
+def test_balance_of_filled_matrices(spark):
+    rng = np.random.default_rng(1)
+    bins, cells = {"a": range(40), "b": range(30, 55), None: range(60, 63)}, []
+    for region, own in bins.items():
+        for _ in range(30 if region else 0):
+            i, j = sorted(rng.choice(own, 2).tolist())
+            cells.append((region, i, j, int(rng.integers(1, 20))))
+    cells = list({c[:3]: c for c in cells}.values())
+    matrix = spark.createDataFrame(cells, "region string, i long, j long, value long")
+    members = spark.createDataFrame([(r, k) for r, own in bins.items() for k in own], "region string, bin long")
+    value = {c[:3]: c[3] for c in cells}
+    dense = [(r, i, j, value.get((r, i, j), 0) + 1) for r, own in bins.items() for i in own for j in own if i <= j]
+    want = ct.balance(spark.createDataFrame(dense, "region string, i long, j long, value long"), ["region"], digits=6)
+    key = lambda r: (str(r["region"]), r["i"], r["j"])
+    want = sorted(want.collect(), key=key)
+    filled = ct.balance_filled(matrix, members, ["region"], digits=6, block=16)
+    got = sorted(filled.collect(), key=key)
+    assert filled.columns == ["region", "i", "j", "value", "bias_i", "bias_j"]
+    assert [key(r) for r in got] == [key(r) for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want], atol=1e-9)
+    # the full matrix is made in the last step: no exchange has it
+    assert "MapInArrow" in filled._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+
+
 def test_quantiles_and_ratios(spark):
     rows = [(0, 0, 0.1, 0.0), (0, 1, 0.3, 10.0), (0, 2, 0.3, 20.0), (1, 0, 0.2, -10.0), (1, 1, 0.2, 0.0), (1, 2, 0.4, 10.0)]
     cells = spark.createDataFrame(rows, "i long, j long, value double, dist double")
