@@ -37,8 +37,8 @@ from helixlake.llm.nodes import document_nodes, fingerprints, text_sequences, wi
 
 #: Least words of a passage, hash functions, how many of them must agree (as every candidate is verified, one will do), and the least similarity.
 WORDS, HASHES, AGREE, LEAST = 50, 4, 1, 0.8
-#: Shingles that an insertion or deletion may move the second text against the first, and that an edit may leave unmatched.
-DRIFT, GAP = 12, 12
+#: Shingles that an insertion or deletion may move the second text against the first, and that an edit may leave unmatched: as many as one may between two parts that are passages only together.
+DRIFT, GAP = 14, 18
 #: Shingles around the meets of a pair that are aligned at first.
 PAD = 64
 #: What stands for the hash function in windows that meet under a key of their whole.
@@ -270,7 +270,9 @@ def candidates(found: DataFrame, words: int = WORDS) -> DataFrame:
     met = lead.where("node <> hub.node or place <> hub.place").unionByName(rest)
     met = met.where(f"node <> hub.node or shiftright(place, 30) - shiftright(hub.place, 30) >= {words}")
     seed = F.struct("place", F.col("hub.place").alias("other"), (F.col("mask") if mask else F.lit(None).cast("binary")).alias("mask"))
-    return met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.collect_list(seed).alias("seeds"))
+    pairs = stored(met.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.collect_list(seed).alias("seeds")), "candidates")
+    discard(lead)
+    return pairs
 
 
 def regions(place: np.ndarray, other: np.ndarray, drift: int = DRIFT) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -323,6 +325,53 @@ def _matches(a: np.ndarray, b: np.ndarray, shift: int, lo: int, hi: int, drift:
     return at + lo, match[at]
 
 
+def _alike(a: np.ndarray, b: np.ndarray, s: int, e: int, hs: int, he: int) -> float:
+    """Similarity of the shingle sets of a[s:e] and b[hs:he]."""
+    x, y = kernels.distinct(a[s:e]), kernels.distinct(b[hs:he])
+    both = len(x) + len(y) - len(kernels.distinct(np.concatenate([x, y])))
+    return both / (len(x) + len(y) - both)
+
+
+def _inner(a: np.ndarray, b: np.ndarray, w: np.ndarray, other: np.ndarray, least_shingles: int, least: float) -> list[tuple[int, int, int, int, float]]:
+    """The passages within a stretch that isn't one: all that are in no longer one, from the begin of a run of matches to the end of a run.
+
+    A shorter end of a run would only lower the similarity.  A part can't be more
+    alike than its share of distinct shingles that are anywhere in the stretch of
+    ``b``, so most are not compared.
+    """
+    cut = np.flatnonzero((np.diff(w) > 1) | (np.diff(other) != 1))
+    s, e = int(w[0]), int(w[-1]) + 1
+    begin, end = w[np.append(0, cut + 1)] - s, w[np.append(cut, len(w) - 1)] + 1 - s
+    first, last = np.append(0, cut + 1), np.append(cut, len(w) - 1)
+    part = a[s:e]
+    common = np.isin(part, b[int(other.min()) : int(other.max()) + 1])
+    order = np.argsort(part, kind="stable")
+    again = np.flatnonzero(part[order[1:]] == part[order[:-1]])
+    before = np.full(e - s, -1)  # where a shingle stood last
+    before[order[again + 1]] = order[again]
+    out: list[tuple[int, int, int, int, float]] = []
+    reach = -1
+    for k in range(len(begin)):
+        at = begin[k]
+        if e - s - at < least_shingles:
+            break
+        fresh = before[at:] < at
+        most, size = np.cumsum(fresh & common[at:]), np.cumsum(fresh)
+        to = end[k:] - at - 1
+        may = k + np.flatnonzero((to + 1 >= least_shingles) & (most[to] >= least * size[to] - 1e-9))
+        for x in may[::-1].tolist():
+            if x <= reach:
+                break  # within one that begins before
+            met = other[first[k] : last[x] + 1]
+            hs, he = int(met.min()), int(met.max()) + 1
+            similarity = _alike(part, b, int(at), int(end[x]), hs, he)
+            if similarity >= least:
+                out.append((s + int(at), s + int(end[x]), hs, he, similarity))
+                reach = x
+                break
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, region: tuple[int, np.ndarray, np.ndarray, np.ndarray], least_shingles: int, least: float, agree: int = AGREE, cut_left: bool = False, cut_right: bool = False, drift: int = DRIFT, gap: int = GAP) -> tuple[list[tuple[int, int, int, int, float]], list[tuple[int, int]]] | None:
     """What two shingle sequences share in one of their ``regions``.
 
@@ -332,7 +381,7 @@ def align(a: np.ndarray, b: np.ndarray, region: tuple[int, np.ndarray, np.ndarra
     ``drift`` of the shift.  Stretches go on over gaps of at most ``gap``; those
     on which meets of ``agree`` hash functions or more lie are passages if they are
     long enough and the similarity of their shingle sets is at least ``least``;
-    else they are split at their largest gap and the parts are tried.  None where
+    else all their longest parts that are so are passages.  None where
     a stretch comes to an end of ``a`` at which it was cut from a longer text.
     """
     shift, first, last, which = region
@@ -354,30 +403,20 @@ def align(a: np.ndarray, b: np.ndarray, region: tuple[int, np.ndarray, np.ndarra
     todo = [(*w, k >= agree) for w, k in zip(todo, met, strict=True) if k]
     if any(cut_left and w[0] <= gap or cut_right and w[-1] >= len(a) - gap - 1 for w, _, _ in todo):
         return None
-    while todo:
-        w, other, enough = todo.pop()
+    for w, other, enough in todo:
         s, e = int(w[0]), int(w[-1]) + 1
-        if len(w) == e - s and (not enough or len(w) < least_shingles):
-            runs.append((s, e))
-            continue
-        gaps = np.diff(w)
+        told: list[tuple[int, int, int, int, float]] = []
         if enough and e - s >= least_shingles:
             hs, he = int(other.min()), int(other.max()) + 1
             if len(w) == e - s == he - hs:
                 out.append((s, e, hs, he, 1.0))
                 continue
-            x, y = kernels.distinct(a[s:e]), kernels.distinct(b[hs:he])
-            both = len(x) + len(y) - len(kernels.distinct(np.concatenate([x, y])))
-            similarity = both / (len(x) + len(y) - both)
-            if similarity >= least:
-                out.append((s, e, hs, he, similarity))
-                continue
-            k = int(gaps.argmax())
-            if gaps[k] > 1:
-                todo += [(w[: k + 1], other[: k + 1], enough), (w[k + 1 :], other[k + 1 :], enough)]
-                continue
-        at = np.flatnonzero(gaps > 1)
-        runs += [(int(w[x]), int(w[y]) + 1) for x, y in zip(np.append(0, at + 1), np.append(at, len(w) - 1), strict=True)]
+            similarity = _alike(a, b, s, e, hs, he)
+            told = [(s, e, hs, he, similarity)] if similarity >= least else _inner(a, b, w, other, least_shingles, least)
+        out += told
+        at = np.flatnonzero(np.diff(w) > 1)
+        own = [(int(w[x]), int(w[y]) + 1) for x, y in zip(np.append(0, at + 1), np.append(at, len(w) - 1), strict=True)]
+        runs += [(x, y) for x, y in own if not any(s <= x and y <= e for s, e, *_ in told)]
     return out, runs
 
 
@@ -425,11 +464,12 @@ def _shorts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.view(np.uint32) if values.ctypes.data % 4 == 0 else np.frombuffer(values.tobytes(), np.uint32), (ends - ends[0]) // 4
 
 
-def _far_apart(shift: np.ndarray, at: np.ndarray, x: tuple, y: tuple, least_common: float) -> tuple[np.ndarray, np.ndarray]:
+def _far_apart(shift: np.ndarray, at: np.ndarray, x: tuple, y: tuple, cuts: list[np.ndarray], least_common: float) -> tuple[np.ndarray, np.ndarray]:
     """(which pairs of pieces can't hold a passage, places of the first pieces that equal the second's at the shift).
 
     These pairs meet at one shift, no shingle stands twice in the first piece, and
-    fewer than ``least_common`` of its shingles are anywhere in the second.
+    fewer than ``least_common`` of its shingles are anywhere in the second, nor
+    any of those from which a stretch may go on past a cut end (``cuts``).
     """
     (a, begin_a), (b, begin_b) = x, y
     n = len(begin_a) - 1
@@ -439,9 +479,13 @@ def _far_apart(shift: np.ndarray, at: np.ndarray, x: tuple, y: tuple, least_comm
     tag_a = row.astype(np.uint64) << np.uint64(32) | a
     tag_b = kernels.distinct(np.repeat(np.arange(n), np.diff(begin_b)).astype(np.uint64) << np.uint64(32) | b)
     where = np.minimum(np.searchsorted(tag_b, tag_a), max(0, len(tag_b) - 1))
-    common = np.bincount(row[tag_b[where] == tag_a], minlength=n) if len(tag_b) else np.zeros(n)
+    anywhere = np.concatenate([[0], np.cumsum(tag_b[where] == tag_a if len(tag_b) else np.zeros(len(a), bool))])
+    common = anywhere[begin_a[1:]] - anywhere[begin_a[:-1]]
+    left = anywhere[np.minimum(begin_a[:-1] + GAP + 1, begin_a[1:])] - anywhere[begin_a[:-1]]
+    right = anywhere[begin_a[1:]] - anywhere[np.maximum(begin_a[1:] - GAP - 1, begin_a[:-1])]
+    ends = cuts[0] & (left > 0) | cuts[1] & (right > 0)
     single = np.bincount((kernels.distinct(tag_a) >> np.uint64(32)).astype(np.int64), minlength=n) == np.diff(begin_a)
-    which = one & single & (common < least_common)
+    which = one & single & (common < least_common) & ~ends
     to = np.arange(len(a)) - begin_a[row] - shift[row]
     hit = which[row] & (to >= 0) & (to < np.diff(begin_b)[row])
     hit[hit] = a[hit] == b[(begin_b[row] + to)[hit]]
@@ -462,12 +506,18 @@ def aligned(pairs: DataFrame, sequences: DataFrame, words: int, least: float, ag
     names = ["kind", "node", "start", "end", "other", "other_start", "other_end", "similarity"]
     kinds = (pa.int8(), *[pa.int64()] * 6, pa.float64())
 
+    def ends_there(x: np.ndarray, y: np.ndarray, shift: int, s: int, e: int) -> bool:
+        """Does nothing go on at this shift past the bounds of a known passage?"""
+        sides = ((max(0, s - GAP - 1), s), (e, min(len(x), e + GAP + 1)))
+        return not any(u < v and len(_matches(x, y, shift, u, v, DRIFT)[0]) for u, v in sides)
+
     def shared(place: np.ndarray, other: np.ndarray, x: np.ndarray, y: np.ndarray, cut_left: bool, cut_right: bool) -> tuple[set[tuple], list[tuple]] | None:
         found: set[tuple] = set()
         runs: list[tuple] = []
         for region in regions(place, other):
             lo, hi = region[1].min(), region[2].max() + 1
-            if any(s <= lo and hi <= e and hs <= lo - region[0] and hi - region[0] <= he for s, e, hs, he, _ in found):
+            held = [(s, e) for s, e, hs, he, _ in found if s <= lo and hi <= e and hs <= lo - region[0] and hi - region[0] <= he]
+            if any(ends_there(x, y, region[0], s, e) for s, e in held):
                 continue  # nothing new, as in texts of one line again and again
             got = align(x, y, region, t, least, agree, cut_left, cut_right)
             if got is None:
@@ -491,16 +541,16 @@ def aligned(pairs: DataFrame, sequences: DataFrame, words: int, least: float, ag
             node_a, node_b, from_a, from_b = (batch.column(x).to_numpy() for x in ("a", "b", "from_a", "from_b"))
             flat_a, flat_b = _shorts(batch.column("seq_a")), _shorts(batch.column("seq_b"))
             here, there = place - (from_a[owner] << 30), other - (from_b[owner] << 30)
-            far, hit = _far_apart((here >> 30) - (there >> 30), ends[:-1], flat_a, flat_b, least * t)
+            cuts = [np.array(batch.column(x).to_pylist(), bool) for x in ("cut_left", "cut_right")]
+            far, hit = _far_apart((here >> 30) - (there >> 30), ends[:-1], flat_a, flat_b, cuts, least * t)
             far &= node_a != node_b
             stays = place & 15 != WHOLE  # windows that are to be redrawn
-            cuts = [batch.column(x).to_pylist() for x in ("cut_left", "cut_right")]
             for k in np.flatnonzero(~far).tolist():
                 a, b, i, j = int(node_a[k]), int(node_b[k]), int(from_a[k]), int(from_b[k])
                 at = slice(ends[k], ends[k + 1])
                 begin = flat_a[1][k]
                 x, y = flat_a[0][begin : flat_a[1][k + 1]], flat_b[0][flat_b[1][k] : flat_b[1][k + 1]]
-                got = shared(here[at], there[at], x, y, cuts[0][k], cuts[1][k])
+                got = shared(here[at], there[at], x, y, bool(cuts[0][k]), bool(cuts[1][k]))
                 if got is None:
                     rows.append((CUT, a, None, None, b, None, None, None))
                     stays[at] = False
@@ -508,16 +558,16 @@ def aligned(pairs: DataFrame, sequences: DataFrame, words: int, least: float, ag
                 found = {(s + i, e + i, hs + j, he + j, sim) for s, e, hs, he, sim in got[0]}
                 if a == b:
                     rows += [(WITHIN, a, s, e, a, hs, he, sim) for s, e, hs, he, sim in found]
-                    stays[at] = False
-                    continue
-                rows += [(FIRST, a, s, e, b, hs, he, sim) for s, e, hs, he, sim in found]
-                back.setdefault(b, []).extend((hs, he, a, s, e, sim) for s, e, hs, he, sim in found)
+                else:
+                    rows += [(FIRST, a, s, e, b, hs, he, sim) for s, e, hs, he, sim in found]
+                    back.setdefault(b, []).extend((hs, he, a, s, e, sim) for s, e, hs, he, sim in found)
                 for s, e in [*got[1], *((s, e) for s, e, *_ in got[0])]:
                     hit[begin + s : begin + e] = True
                 c = here[at] >> 30
                 lo, hi = c - (here[at] >> 17 & 0x1FFF), c + (here[at] >> 4 & 0x1FFF)
-                for s, e, *_ in got[0]:
-                    stays[at] &= (lo < s) | (hi >= e)
+                for s, e, _, _, sim in got[0]:
+                    if a != b or sim == 1:  # where a text has a stretch exactly again, others meet the first
+                        stays[at] &= (lo < s) | (hi >= e)
             rows += [(SECOND, b, s, e, o, os, oe, sim) for b, spans in back.items() for s, e, o, os, oe, sim in merged(spans)]
             made = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*made, pa.nulls(len(rows), pa.binary())], names=[*names, "mask"])
@@ -568,7 +618,7 @@ def passage_stretches(docs: DataFrame, words: int = WORDS, hashes: int = HASHES,
     """
     more = kernels.SHINGLE - 1
     found = stored(windows(docs, words, hashes, text), "windows")
-    pairs = stored(candidates(found, words), "candidates")
+    pairs = candidates(found, words)
     discard(found)
     sequences = stored(text_sequences(docs, words, text).join(_named(pairs), "node", "left_semi"), "sequences")
     release(docs.sparkSession)
@@ -576,18 +626,19 @@ def passage_stretches(docs: DataFrame, words: int = WORDS, hashes: int = HASHES,
     results = []
     while True:
         latest = [stored(aligned(pairs, sequences, words, least, agree), "aligned", 2000)]
+        release(docs.sparkSession)
         cut = latest[0].where(F.col("kind") == CUT).select(F.col("node").alias("a"), F.col("other").alias("b"))
         if not cut.isEmpty():
             latest.append(stored(aligned(pairs.join(cut, ["a", "b"], "left_semi"), sequences, words, least, agree, whole=True), "aligned", 500))
         results += latest
-        release(docs.sparkSession)
+        discard(pairs)
         windows_of = reduce(DataFrame.unionByName, latest).where(F.col("kind") == OPEN).select("node", F.struct(F.col("start").alias("place"), "mask").alias("w")).distinct()
         told = _stretches(reduce(DataFrame.unionByName, results).where(F.col("kind").isin(FIRST, SECOND)).select(*names))
         told = told.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("told"))
         held = windows_of.groupBy("node").agg(F.collect_list("w").alias("windows")).join(sequences, "node").join(told, "node", "left")
         found = stored(redrawn(held, words), "windows", 400)
-        discard(pairs)
-        pairs = stored(candidates(found, words), "candidates")
+        release(docs.sparkSession)
+        pairs = candidates(found, words)
         discard(found)
         if pairs.isEmpty():
             break

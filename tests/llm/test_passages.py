@@ -179,3 +179,55 @@ def test_null_repeated_and_very_long_texts(spark):
     rows = ps.repeated_passages(spark.createDataFrame([(i, t, 0, "n") for i, t in docs], "doc_id long, text string, node int, start string")).collect()
     spans = {(r["doc_id"], r["start_word"], r["end_word"]) for r in rows}
     assert {(1, 150_000, 150_055), (2, 30, 85), (None, 0, 55), (4, 0, 30_001), (3, 0, 30_000)} == spans
+
+
+def test_a_passage_beside_noise_is_found_whole():
+    rng = np.random.default_rng(3)
+    some = lambda n: rng.integers(0, 1 << 30, n).astype(np.uint32)
+    a = some(113)
+    b = a.copy()
+    b[30:35] = some(5)
+    for k in range(65, 113, 8):  # after the passage, three of eight are alike
+        b[k : k + 5] = some(5)
+    region = 0, np.array([0]), np.array([29]), np.array([0])
+    got, runs = ps.align(a, b, region, 46, 0.8)
+    whole = [(s, e) for s in range(113) for e in range(s + 46, 114) if ps._alike(a, b, s, e, s, e) >= 0.8]
+    assert {k for s, e, *_ in got for k in range(s, e)} >= {k for s, e in whole for k in range(s, e) if a[k] == b[k]} >= set(range(30))
+    assert all(ps._alike(a, b, *r[:4]) >= 0.8 and r[1] - r[0] >= 46 for r in got)
+    same = set(np.flatnonzero(a == b).tolist())
+    assert {k for s, e in [*runs, *(r[:2] for r in got)] for k in range(s, e)} >= same
+
+
+def test_two_parts_that_are_a_passage_only_together():
+    rng = np.random.default_rng(4)
+    some = lambda n: rng.integers(0, 1 << 30, n).astype(np.uint32)
+    x, y = some(44), some(44)
+    a, b = np.concatenate([some(60), x, some(17), y, some(60)]), np.concatenate([some(60), x, some(4), y, some(60)])
+    assert ps._alike(a, b, 60, 165, 60, 152) >= 0.8
+    got, _ = ps.align(a, b, (0, np.array([60]), np.array([103]), np.array([0])), 46, 0.8)
+    assert [r[:4] for r in got] == [(60, 165, 60, 152)]
+
+
+def test_pieces_whose_stretch_goes_on_past_a_cut_are_compared():
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 1 << 30, 150).astype(np.uint32)
+    b = rng.integers(0, 1 << 30, 150).astype(np.uint32)
+    b[125:] = a[125:]
+    piece = lambda x: (x, np.array([0, 150]))
+    for left, right, far in ((False, True, False), (False, False, True), (True, False, True)):
+        cuts = [np.array([left]), np.array([right])]
+        assert ps._far_apart(np.zeros(1, np.int64), np.array([0]), piece(a), piece(b), cuts, 0.8 * 46)[0].tolist() == [far]
+
+
+def test_a_line_that_its_text_has_before_hides_no_passage(spark):
+    rng = random.Random(15)
+    some = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(7)) for _ in range(n)]
+    texts = {}
+    for k in range(60):
+        line = some(42)
+        passage = some(4) + line + some(4)
+        texts[2 * k] = some(30) + line + some(90) + passage + some(30)
+        texts[2 * k + 1] = some(30) + passage + some(30)
+    docs = [(i, " ".join(w)) for i, w in texts.items()]
+    got = covered(ps.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert exact(texts) <= got
