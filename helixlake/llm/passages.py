@@ -332,41 +332,78 @@ def _alike(a: np.ndarray, b: np.ndarray, s: int, e: int, hs: int, he: int) -> fl
     return both / (len(x) + len(y) - both)
 
 
+def _before(x: np.ndarray) -> np.ndarray:
+    """Where each value stood last; -1 for a value's first place."""
+    order = np.argsort(x, kind="stable")
+    again = np.flatnonzero(x[order[1:]] == x[order[:-1]])
+    before = np.full(len(x), -1)
+    before[order[again + 1]] = order[again]
+    return before
+
+
+def _pairs_from(rows: tuple[int, int], columns: int, low: np.ndarray, to: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each row k in ``rows`` and column x, how many items have low <= k < to and high <= x."""
+    n = rows[1] - rows[0]
+    low, to = np.clip(low - rows[0], 0, n), np.clip(to - rows[0], 0, n)
+    some = (low < to) & (high < columns)
+    low, to, high = low[some], to[some], high[some]
+    size = (n + 1) * columns
+    change = np.bincount(low * columns + high, minlength=size) - np.bincount(to * columns + high, minlength=size)
+    return change.reshape(n + 1, columns)[:n].cumsum(axis=0).cumsum(axis=1)
+
+
+def _may_be_passages(part: np.ndarray, hull: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, least_shingles: int, least: float, cells: int = 1 << 20) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, all x) where part[begin[k] : end[x]] is long enough and may be as alike as ``least`` to what it meets in ``hull``.
+
+    Runs meet low[k] : high[k].  What is compared holds at least the shingles between
+    ``inner`` bounds and at most those between ``outer`` ones, which rise from run to run.
+    Where the runs' meets rise too and no shingle stands twice in ``hull``, no other pairs are returned.
+    """
+    n = len(begin)
+    before, again = _before(part), _before(hull)
+    inner = np.maximum.accumulate(low), np.minimum.accumulate(high[::-1])[::-1]
+    outer = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
+    place, there = np.arange(len(part)), np.arange(len(hull))
+    values, ids = np.unique(hull, return_inverse=True)
+    first, last = np.empty(len(values), np.int64), np.empty(len(values), np.int64)
+    first[ids[::-1]], last[ids] = there[::-1], there
+    at = np.minimum(np.searchsorted(values, part), len(values) - 1)
+    common = values[at] == part
+    own = np.searchsorted(begin, before, side="right"), np.searchsorted(begin, place, side="right"), np.searchsorted(end, place, side="right")
+    met = np.searchsorted(inner[0], again, side="right"), np.searchsorted(inner[0], there, side="right"), np.searchsorted(inner[1], there, side="right")
+    to = np.minimum(own[1], np.searchsorted(outer[0], last[at], side="right"))[common]
+    since = np.maximum(own[2], np.searchsorted(outer[1], first[at], side="right"))[common]
+    step = max(1, cells // n)
+    for k in range(0, n, step):
+        rows = k, min(n, k + step)
+        size = _pairs_from(rows, n, *own) + _pairs_from(rows, n, *met)
+        both = _pairs_from(rows, n, own[0][common], to, since)
+        may = (end - begin[rows[0] : rows[1], None] >= least_shingles) & ((1 + least) * both >= least * size - 1e-6)
+        for i in np.flatnonzero(may.any(axis=1)).tolist():
+            yield k + i, np.flatnonzero(may[i])
+
+
 def _inner(a: np.ndarray, b: np.ndarray, w: np.ndarray, other: np.ndarray, least_shingles: int, least: float) -> list[tuple[int, int, int, int, float]]:
     """The passages within a stretch that isn't one: all that are in no longer one, from the begin of a run of matches to the end of a run.
 
-    A shorter end of a run would only lower the similarity.  A part can't be more
-    alike than its share of distinct shingles that are anywhere in the stretch of
-    ``b``, so most are not compared.
+    A shorter end of a run would only lower the similarity.  Bounds of the similarity of
+    all parts are found at once, so most are not compared.
     """
     cut = np.flatnonzero((np.diff(w) > 1) | (np.diff(other) != 1))
-    s, e = int(w[0]), int(w[-1]) + 1
-    begin, end = w[np.append(0, cut + 1)] - s, w[np.append(cut, len(w) - 1)] + 1 - s
+    s, e, base = int(w[0]), int(w[-1]) + 1, int(other.min())
     first, last = np.append(0, cut + 1), np.append(cut, len(w) - 1)
+    begin, end = w[first] - s, w[last] + 1 - s
     part = a[s:e]
-    common = np.isin(part, b[int(other.min()) : int(other.max()) + 1])
-    order = np.argsort(part, kind="stable")
-    again = np.flatnonzero(part[order[1:]] == part[order[:-1]])
-    before = np.full(e - s, -1)  # where a shingle stood last
-    before[order[again + 1]] = order[again]
     out: list[tuple[int, int, int, int, float]] = []
     reach = -1
-    for k in range(len(begin)):
-        at = begin[k]
-        if e - s - at < least_shingles:
-            break
-        fresh = before[at:] < at
-        most, size = np.cumsum(fresh & common[at:]), np.cumsum(fresh)
-        to = end[k:] - at - 1
-        may = k + np.flatnonzero((to + 1 >= least_shingles) & (most[to] >= least * size[to] - 1e-9))
+    for k, may in _may_be_passages(part, b[base : int(other.max()) + 1], begin, end, other[first] - base, other[last] + 1 - base, least_shingles, least):
         for x in may[::-1].tolist():
             if x <= reach:
                 break  # within one that begins before
-            met = other[first[k] : last[x] + 1]
-            hs, he = int(met.min()), int(met.max()) + 1
-            similarity = _alike(part, b, int(at), int(end[x]), hs, he)
+            hs, he = int(other[first[k : x + 1]].min()), int(other[last[k : x + 1]].max()) + 1
+            similarity = _alike(part, b, int(begin[k]), int(end[x]), hs, he)
             if similarity >= least:
-                out.append((s + int(at), s + int(end[x]), hs, he, similarity))
+                out.append((s + int(begin[k]), s + int(end[x]), hs, he, similarity))
                 reach = x
                 break
     return out

@@ -1,6 +1,8 @@
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixlake.llm import common as c
 
@@ -41,3 +43,19 @@ def test_slices():
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(25))], names=["x"])
     assert [b.num_rows for b in c.sliced([batch], 10)] == [10, 10, 5]
+
+
+def test_shuffles_of_the_last_query_are_released(spark):
+    """Without anything that runs after it: the listeners still hold its plan then."""
+    kept = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    c.release(spark)
+    time.sleep(2)
+    before = kept()
+    table = c.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "shuffled")
+    assert kept() > before
+    c.release(spark)
+    until = time.time() + 10
+    while kept() > before and time.time() < until:
+        time.sleep(0.2)
+    assert kept() <= before
+    c.discard(table)

@@ -231,3 +231,61 @@ def test_a_line_that_its_text_has_before_hides_no_passage(spark):
     docs = [(i, " ".join(w)) for i, w in texts.items()]
     got = covered(ps.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
     assert exact(texts) <= got
+
+
+def parts_by_brute_force(a, b, w, other, t, least):
+    """The parts that ``_inner`` returns, each compared as sets."""
+    cut = [i for i in range(1, len(w)) if w[i] - w[i - 1] > 1 or other[i] - other[i - 1] != 1]
+    runs = list(zip([0, *cut], [*cut, len(w)], strict=True))
+    out, reach = [], -1
+    for k in range(len(runs)):
+        for x in range(len(runs) - 1, max(k - 1, reach), -1):
+            s, e = int(w[runs[k][0]]), int(w[runs[x][1] - 1]) + 1
+            met = other[runs[k][0] : runs[x][1]]
+            hs, he = int(met.min()), int(met.max()) + 1
+            p, q = {*a[s:e].tolist()}, {*b[hs:he].tolist()}
+            similarity = len(p & q) / len(p | q)
+            if e - s >= t and similarity >= least:
+                out.append((s, e, hs, he, similarity))
+                reach = x
+                break
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 1 << 30), st.sampled_from([3, 10, 1000]), st.floats(0, 0.5), st.integers(4, 20))
+def test_parts_of_a_stretch_equal_brute_force(seed, vocabulary, share, t):
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, vocabulary, 90).astype(np.uint32)
+    b = np.where(rng.random(90) < share, rng.integers(0, vocabulary, 90), a).astype(np.uint32)
+    drop = np.flatnonzero(rng.random(90) < share / 4)
+    b = np.delete(b, drop)
+    w, other = ps._matches(a, b, 0, 0, len(a), ps.DRIFT)
+    if len(w):
+        assert ps._inner(a, b, w, other, t, 0.8) == parts_by_brute_force(a, b, w, other, t, 0.8)
+        cells = [list(x) for x in ([(k, m.tolist()) for k, m in ps._may_be_passages(a, b, *bounds, t, 0.8, n)] for bounds in [_runs(w, other)] for n in (1, 1 << 20))]
+        assert cells[0] == cells[1]
+
+
+def _runs(w, other):
+    cut = np.flatnonzero((np.diff(w) > 1) | (np.diff(other) != 1))
+    first, last = np.append(0, cut + 1), np.append(cut, len(w) - 1)
+    return w[first], w[last] + 1, other[first], other[last] + 1
+
+
+def test_parts_that_cannot_be_passages_are_not_compared(monkeypatch):
+    """Two of three shingles are shared all along, in order: no part of it is a passage, and bounds alone say so."""
+    a = np.arange(600, dtype=np.uint32)
+    b = a.copy()
+    b[::3] += 10_000
+    b = np.delete(b, [0])
+    w, other = ps._matches(a, b, 1, 0, len(a), ps.DRIFT)
+    calls = []
+    alike = ps._alike
+    monkeypatch.setattr(ps, "_alike", lambda *x: calls.append(0) or alike(*x))
+    assert ps._inner(a, b, w, other, 46, 0.8) == [] and not calls
+    # the first part shares all but is followed by words of the second only: counted on both sides
+    b3 = np.concatenate([a[:100], np.arange(20_000, 20_012, dtype=np.uint32), a[100:140], np.arange(30_000, 30_012, dtype=np.uint32), a[140:180]])
+    w, other = ps._matches(a[:180], b3, 0, 0, 180, 30)
+    got = ps._inner(a[:180], b3, w, other, 46, 0.9)
+    assert got == parts_by_brute_force(a[:180], b3, w, other, 46, 0.9) and len(calls) == len(got)
