@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixlake.llm import kernels
-from helixlake.llm.common import sliced, stored, table
+from helixlake.llm.common import discard, release, settled, sliced, stored, table
 from helixlake.llm.nodes import components, fingerprints, node_sequences, with_sequences
 
 #: Bands, rows in a band, and the least similarity of a link.  At 0.8 a pair shares a band with probability 0.9999.
@@ -264,7 +264,9 @@ def _remaining_links(docs: DataFrame, members: DataFrame, nodes: DataFrame, comp
     if pairs.isEmpty():
         return None
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    release(docs.sparkSession)
     sequences = stored(node_sequences(docs, named.join(nodes, "node").select("rep").distinct(), text, doc_id), "sequences")
+    release(docs.sparkSession)
     return stored(_across(contested.join(sequences, "node"), least), "links")
 
 
@@ -296,7 +298,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The pairs (a, b, similarity) of at least ``least``, by their whole texts."""
     named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    release(docs.sparkSession)  # here and below: what made the pairs goes before the texts are shuffled, and those before their sequences are
     sequences = stored(node_sequences(docs, named.join(nodes, "node").select("rep").distinct(), text, doc_id), "sequences")
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -317,19 +321,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     class of its own.  Rows with the same id and text are in the same class; a
     null id can be a class's id only if all its ids are null.
     """
+    spark = docs.sparkSession
     signed = stored(signatures(docs, text, doc_id), "signed")
     told = signed.where("node is not null").groupBy("node")
-    nodes = stored(told.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = settled(spark, lambda: told.agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     members = _crowded(nodes.select("node", F.posexplode("bands").alias("i", "band")).select("node", "i", F.xxhash64("i", "band").alias("key")))
-    pairs = stored(likely(_central_pairs(members), nodes, least), "pairs")
-    links = stored(verified(docs, nodes, pairs, least, text, doc_id), "links")
-    more = _contested_pairs(members, nodes, components(links))
-    more = stored(likely(more, nodes, least), "pairs")
-    links = links.unionByName(stored(verified(docs, nodes, more, least, text, doc_id), "links"))
-    rest = _remaining_links(docs, members, nodes, components(links), least, text, doc_id)
-    links = links if rest is None else links.unionByName(rest.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    release(spark)
+
+    def grouped() -> DataFrame:
+        return stored(components(links), "components")
+
+    def verified_of(pairs: DataFrame) -> DataFrame:
+        return verified(docs, nodes, stored(likely(pairs, nodes, least), "pairs"), least, text, doc_id)
+
+    links = settled(spark, lambda: verified_of(_central_pairs(members)), "links")
+    component = grouped()
+    links = links.unionByName(settled(spark, lambda: verified_of(_contested_pairs(members, nodes, component)), "links"))
+    component = grouped()
+    rest = _remaining_links(docs, members, nodes, component, least, text, doc_id)
+    discard(members)
+    if rest is not None:
+        links = links.unionByName(rest.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+        component = grouped()
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    joined = nodes.select("node", "rep", "copies").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    joined = nodes.select("node", "rep", "copies").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = joined.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"), F.min_by("node", F.struct(F.col("rep").isNull(), "rep", "node")).alias("kept"))
     facts = joined.join(classes, "component").join(degree, "node", "left").select("node", "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"), (F.col("node") == F.col("kept")).alias("keep"))
     out = signed.select("doc_id", "node").join(facts, "node", "left")
@@ -364,12 +379,13 @@ def _with_node(docs: DataFrame, text: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """One row of each class, that of the smallest id, with all its columns; repeated rows of an id and text count as one, and every row without words stays."""
-    stay = near_duplicates(docs, text, doc_id, least).where("keep").select(F.col(doc_id).alias("_keep_id"), F.col("node").alias("_keep_node")).distinct()
-    rows = _with_node(docs, text)
-    same = F.col(doc_id).eqNullSafe(F.col("_keep_id")) & F.col("__node").eqNullSafe(F.col("_keep_node"))
-    rows = rows.join(stay, same, "left_semi")
-    alone = rows.where(F.col("__node").isNull())
-    return rows.where(F.col("__node").isNotNull()).dropDuplicates([doc_id, "__node"]).unionByName(alone).drop("__node")
+    # a struct, whose nulls are equal: texts are dealt out by it once, for the join and for what repeats
+    key = F.struct(F.col(doc_id).alias("id"), F.col("node").alias("node"))
+    stay = settled(docs.sparkSession, lambda: near_duplicates(docs, text, doc_id, least).where("keep").select(key.alias("__key")), "stay")
+    rows = _with_node(docs, text).withColumn("__key", F.struct(F.col(doc_id).alias("id"), F.col("__node").alias("node")))
+    rows = rows.join(stay, "__key", "left_semi")
+    rows = rows.withColumn("__alone", F.when(F.col("__node").isNull(), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["__key", "__alone"]).select(docs.columns)
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from helixlake.llm import kernels
+from helixlake.llm import common, kernels
 from helixlake.llm import neardup as nd
 
 
@@ -109,6 +109,23 @@ def test_rows_that_repeat_and_empty_tables(spark):
     assert nd.drop_near_duplicates(blank).count() == 4
 
 
+def test_texts_are_dealt_out_once_to_drop_duplicates_and_nothing_else_is_kept(spark):
+    texts = corpus(5)
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3])], "doc_id long, text string")
+    common.drop_stored(spark)
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "-1")
+        kept = nd.drop_near_duplicates(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2  # of texts, and of the keys that stay
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute(texts)))
+    assert common.drop_stored(spark) == 1
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(1)
     k = 2000
