@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from helixlake.llm import lm
+from helixlake.llm import common, lm
 
 
 def words(text):
@@ -199,3 +200,30 @@ def test_empty_table(docs):
     assert lm.score_texts(docs.limit(0), model, counts).count() == 0
     rows = lm.score_texts(docs, model, counts).collect()
     assert len(rows) == docs.count() and all(np.isfinite(r["score"]) and r["n_known"] == 0 for r in rows)
+
+
+def test_sums_of_codes_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    size = 1_000_000
+    code, n = rng.integers(0, 1 << 28, size), rng.integers(1, 9, size)
+    code[::3] = code[0]
+    want, place = np.unique(code, return_inverse=True)
+    totals = np.bincount(place, n).astype(np.int64)
+    tracemalloc.start()
+    parts = [(code, n)]
+    value, sums = lm.summed(parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (value == want).all() and (sums == totals).all() and sums.dtype == n.dtype and not parts
+    assert peak < 5.5 * 8 * size  # by numbers of places it was more
+
+
+def test_texts_go_to_workers_in_small_batches(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(lm, "stored", lambda df, name, rows=None: asked.append((name, rows)) or common.stored(df, name, rows))
+    docs = spark.createDataFrame([(i, f"a b c{i} d{i % 3}") for i in range(40)], "doc_id long, text string")
+    model, counts = lm.learn(docs, F.lit(True), most_words=3)
+    assert lm.score_texts(docs, model, counts).count() == 40
+    assert dict(asked) == {"word_counts": 1000, "bigrams": 1000, "scores": 1000}
